@@ -73,12 +73,12 @@ def ranking_metrics(
     c = curve_table(df, label, score, g)
     P, N = F.first("P"), F.first("N")
     aggs = [
-        (F.sum(F.col("neg") * (F.col("cum_pos") - F.col("pos") + F.col("pos") / 2.0)) / (P * N)).alias("auc_roc"),
-        (F.sum(F.col("pos") * (F.col("cum_pos") / F.col("cum_cnt"))) / P).alias("auc_pr"),
+        (F.sum(F.col("neg") * (F.col("cum_pos") - F.col("pos") + F.col("pos") / 2.0)) / F.nullif(P * N, F.lit(0))).alias("auc_roc"),
+        (F.sum(F.col("pos") * (F.col("cum_pos") / F.col("cum_cnt"))) / F.nullif(P, F.lit(0))).alias("auc_pr"),
     ]
     for t in fpr_targets:
         hit = F.max(F.when(F.col("cum_neg") <= F.lit(t) * F.col("N"), F.col("cum_pos")))
-        aggs.append((F.coalesce(hit, F.lit(0)) / P).alias(fpr_key(t)))
+        aggs.append((F.coalesce(hit, F.lit(0)) / F.nullif(P, F.lit(0))).alias(fpr_key(t)))
     out = c.groupBy(*g).agg(*aggs, F.first("P").alias("__P"), F.first("N").alias("__N"))
     undefined = (F.col("__P") == 0) | (F.col("__N") == 0)
     cols = ["auc_roc", "auc_pr"] + [fpr_key(t) for t in fpr_targets]
