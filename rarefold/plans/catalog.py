@@ -9,6 +9,7 @@ from rarefold.plans.registry import ORACLES, QUERIES
 _MODULES = (
     "rarefold.plans.q_metrics",
     "rarefold.plans.q_prep",
+    "rarefold.plans.q_model",
 )
 
 
