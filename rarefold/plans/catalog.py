@@ -10,6 +10,7 @@ _MODULES = (
     "rarefold.plans.q_metrics",
     "rarefold.plans.q_prep",
     "rarefold.plans.q_model",
+    "rarefold.plans.q_oversample",
 )
 
 
