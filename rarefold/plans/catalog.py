@@ -11,6 +11,7 @@ _MODULES = (
     "rarefold.plans.q_prep",
     "rarefold.plans.q_model",
     "rarefold.plans.q_oversample",
+    "rarefold.plans.q_synth",
 )
 
 
