@@ -38,12 +38,14 @@ def hard_prediction(score: Column | str, threshold: float = 0.5) -> Column:
     return (s >= F.lit(threshold)).cast("int")
 
 
-def curve_table(df: DataFrame, label: str, score: str, group_cols: Sequence[str] = ()) -> DataFrame:
+def curve_table(df: DataFrame, label: str, score: str, group_cols: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     """Per (group, distinct score): pos, neg, cnt and running cum_pos/cum_neg/cum_cnt
-    in descending score order, plus the group's P and N."""
+    in descending score order, plus the group's P and N. ``weight`` counts a row
+    that many times (bootstrap multiplicities)."""
     g = _g(group_cols)
+    w = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
     grouped = df.groupBy(*g, score).agg(
-        F.sum(F.col(label).cast("long")).alias("pos"), F.count(F.lit(1)).alias("cnt")
+        F.sum(F.col(label).cast("long") * w).alias("pos"), F.sum(w).alias("cnt")
     )
     grouped = grouped.withColumn("neg", F.col("cnt") - F.col("pos"))
     cur = running_totals(
@@ -67,10 +69,11 @@ def ranking_metrics(
     score: str,
     group_cols: Sequence[str] = (),
     fpr_targets: Sequence[float] = DEFAULT_FPR_TARGETS,
+    weight: str | None = None,
 ) -> DataFrame:
     """I3 (auc_roc), I4 (auc_pr), I7 (recall_at_fpr_*) per group; undefined -> null."""
     g = _g(group_cols)
-    c = curve_table(df, label, score, g)
+    c = curve_table(df, label, score, g, weight)
     P, N = F.first("P"), F.first("N")
     aggs = [
         (F.sum(F.col("neg") * (F.col("cum_pos") - F.col("pos") + F.col("pos") / 2.0)) / F.nullif(P * N, F.lit(0))).alias("auc_roc"),
@@ -91,16 +94,21 @@ def ranking_metrics(
     )
 
 
-def confusion_counts(df: DataFrame, label: str, score: str, threshold: float = 0.5, group_cols: Sequence[str] = ()) -> DataFrame:
+def confusion_counts(df: DataFrame, label: str, score: str, threshold: float = 0.5, group_cols: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     """Tn, fp, fn, tp per group (label order 0, 1 even if a class is absent)."""
     g = _g(group_cols)
     y = F.col(label)
     p = hard_prediction(score, threshold)
+    w = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
+
+    def cnt(cond):
+        return F.coalesce(F.sum(F.when(cond, w)), F.lit(0)).cast("long")
+
     return df.groupBy(*g).agg(
-        F.count_if((y == 0) & (p == 0)).cast("long").alias("tn"),
-        F.count_if((y == 0) & (p == 1)).cast("long").alias("fp"),
-        F.count_if((y == 1) & (p == 0)).cast("long").alias("fn"),
-        F.count_if((y == 1) & (p == 1)).cast("long").alias("tp"),
+        cnt((y == 0) & (p == 0)).alias("tn"),
+        cnt((y == 0) & (p == 1)).alias("fp"),
+        cnt((y == 1) & (p == 0)).alias("fn"),
+        cnt((y == 1) & (p == 1)).alias("tp"),
     )
 
 
@@ -122,8 +130,8 @@ def with_threshold_metrics(cm: DataFrame) -> DataFrame:
     )
 
 
-def threshold_metrics(df: DataFrame, label: str, score: str, threshold: float = 0.5, group_cols: Sequence[str] = ()) -> DataFrame:
-    return with_threshold_metrics(confusion_counts(df, label, score, threshold, group_cols))
+def threshold_metrics(df: DataFrame, label: str, score: str, threshold: float = 0.5, group_cols: Sequence[str] = (), weight: str | None = None) -> DataFrame:
+    return with_threshold_metrics(confusion_counts(df, label, score, threshold, group_cols, weight))
 
 
 def metric_row(

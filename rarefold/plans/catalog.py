@@ -12,6 +12,8 @@ _MODULES = (
     "rarefold.plans.q_model",
     "rarefold.plans.q_oversample",
     "rarefold.plans.q_synth",
+    "rarefold.plans.q_select",
+    "rarefold.plans.q_experiment",
 )
 
 
