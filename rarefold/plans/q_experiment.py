@@ -90,3 +90,26 @@ def q_score_stream(spark, d):
     feed_schema = spark.read.parquet(src).schema
     out = score_stream(spark, clf, prep, src, feed_schema, scratch_path(spark, "scored"), scratch_path(spark, "ckpt"))
     return rounded(out)
+
+
+@register("train_evaluate")
+def q_train_evaluate(spark, d):
+    """E7 -> E8 -> E6 on the transactions view, artifacts in the shared folder."""
+    from rarefold.operators.prep import Roles
+    from rarefold.plans.tables import LABEL, transactions
+    from rarefold.plans.train import TrainConfig, rerun_ablation, run_evaluation, run_training
+
+    cfg = TrainConfig(
+        roles=Roles(target=LABEL, id="event_id", time="ts"),
+        episodes=4,
+        episode_size=64,
+        classifier=dict(max_iter=8, max_depth=4, step_size=0.1, early_stopping_rounds=3),
+        reward_classifier=dict(max_iter=5),
+    )
+    raw = transactions(spark, d)
+    out = scratch_path(spark, "run")
+    run_training(spark, raw, cfg, out)
+    met = run_evaluation(spark, raw, cfg, out)
+    abl = rerun_ablation(spark, raw, cfg, out)
+    flat = met.select("auc_roc", "auc_pr", "f1", "mcc").withColumn("scenario", F.lit("final"))
+    return rounded(flat.unionByName(abl.select("scenario", "auc_roc", "auc_pr", "f1", "mcc")))
