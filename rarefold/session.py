@@ -8,7 +8,7 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
-def get_spark(master: str | None = None, app: str = "rarefold", shuffle_partitions: int | None = None) -> SparkSession:
+def get_spark(master: str | None = None, app: str = "rarefold", shuffle_partitions: int | None = None, driver_memory: str | None = None) -> SparkSession:
     """Build (or reuse) a session with the settings every operator assumes.
 
     On a cluster, ``master`` stays None so spark-submit decides; tests pass
@@ -26,6 +26,8 @@ def get_spark(master: str | None = None, app: str = "rarefold", shuffle_partitio
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
+    if driver_memory:  # local mode only: the driver JVM is the executor
+        b = b.config("spark.driver.memory", driver_memory)
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = b.getOrCreate()

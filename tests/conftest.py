@@ -10,6 +10,6 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     from rarefold.session import checkpoint_dir, get_spark
 
-    s = get_spark("local[4]", shuffle_partitions=8)
+    s = get_spark("local[4]", shuffle_partitions=8, driver_memory="8g")
     checkpoint_dir(s)
     yield s

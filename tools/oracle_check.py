@@ -50,7 +50,7 @@ def main():
     args = sys.argv[1:]
     sf = args[0] if args and args[0].startswith("/") else "/root/testdata/sf0.01"
     names = [a for a in args if not a.startswith("/")]
-    spark = get_spark("local[8]", shuffle_partitions=8)
+    spark = get_spark("local[8]", shuffle_partitions=8, driver_memory="16g")
     queries, oracles = load_all()
     con = duckdb.connect()
     for t in TABLES:
