@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from rarefold.functions.prefix import global_row_number
 from rarefold.functions.rng import uniform
+from rarefold.session import cut_lineage
 
 SYNTHETIC_FLAG = "__is_synthetic__"
 
@@ -156,7 +157,9 @@ def smote(
         return spark.range(0).select(F.col("id").alias(out_id), *[F.lit(None).alias(c) for c in cols])
     if n_pos < k + 1:
         raise ValueError(f"SMOTE needs at least k + 1 = {k + 1} minority rows, got {n_pos}")
-    minority = df.where(F.col(target) == positive).select(id_col, *cols)
+    # the minority slice feeds the k-NN, the row numbers and both joins: write it
+    # once to the shared checkpoint folder instead of rescanning the input
+    minority = cut_lineage(df.where(F.col(target) == positive).select(id_col, *cols))
     pen = smotenc_penalty(minority, num_cols) if cat_cols else None
     nn = knn_within(minority, id_col, num_cols, cat_cols, k, penalty=pen)
     mins = global_row_number(minority, id_col, out="__rn")
