@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rarefold.session import scratch_path
 
@@ -37,3 +40,38 @@ def text_key(c: Column | str) -> Column:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Largest key filter: 2**26 bits, 8 MB. With more keys it passes more rows, never fewer.
+_FILTER_BITS = 26
+
+
+def texts_of(documents: DataFrame, keys: DataFrame) -> DataFrame:
+    """``keys`` (with a column tkey, unique) joined to one text per key.
+
+    A bit filter of bounded size drops most rows of other texts before the shuffle; repeated
+    texts are reduced to one before it too.
+    """
+    spark = documents.sparkSession
+    n = max(1, keys.count())
+    bits = min(_FILTER_BITS, max(12, (16 * n).bit_length()))
+    place = F.col("__h").bitwiseAND(F.lit((1 << bits) - 1))
+    words = (
+        keys.select(F.xxhash64("tkey").alias("__h"))
+        .select(F.shiftright(place, 6).alias("word"), F.expr(f"shiftleft(1L, cast((__h & {(1 << bits) - 1}) & 63 as int))").alias("bit"))
+        .groupBy("word")
+        .agg(F.bit_or("bit").alias("bit"))
+    )
+    table_ = np.zeros(1 << (bits - 6), np.int64)
+    got = words.toPandas()  # at most 2**20 rows
+    table_[got["word"].to_numpy(np.int64)] = got["bit"].to_numpy(np.int64)
+    shared = spark.sparkContext.broadcast(table_)
+
+    @F.pandas_udf(T.BooleanType())
+    def maybe(h: pd.Series) -> pd.Series:
+        at = h.to_numpy(np.int64) & ((1 << bits) - 1)
+        return pd.Series((shared.value[at >> 6] >> (at & 63)) & 1 == 1)
+
+    text = documents.select(text_key("text").alias("tkey"), text_or_empty("text").alias("text"))
+    near = text.where(maybe(F.xxhash64("tkey"))).dropDuplicates(["tkey"])
+    return near.join(keys, "tkey")

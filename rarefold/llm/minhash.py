@@ -24,7 +24,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rarefold.llm.common import shuffle_partitions, staged, text_key, text_or_empty
+from rarefold.llm.common import shuffle_partitions, staged, text_key, text_or_empty, texts_of
 from rarefold.llm.graph import components
 
 
@@ -125,10 +125,8 @@ def _sets(documents: DataFrame, nodes: DataFrame, wanted: DataFrame, p: NearDupl
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(out, pa.binary())], ["node", "shingles"])
 
     need = nodes.join(wanted, "node", "left_semi").select("tkey", "node")
-    text = documents.select(text_key("text").alias("tkey"), text_or_empty("text").alias("text"))
-    # repeated texts give the same set; one of them is enough
-    found = text.join(need, "tkey").select("node", "text")
-    return staged(found.mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"]), "sets")
+    found = texts_of(documents, need).select("node", "text")
+    return staged(found.mapInArrow(run, "node long, shingles binary"), "sets")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, p: NearDuplicates) -> DataFrame:
