@@ -42,36 +42,57 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-#: Largest key filter: 2**26 bits, 8 MB. With more keys it passes more rows, never fewer.
-_FILTER_BITS = 26
+#: Largest bit filter: 2**26 bits, 8 MB. With more keys it passes more rows, never fewer.
+FILTER_BITS = 26
+
+
+class BitFilter:
+    """Which 64-bit hashes may be among given ones; bounded in size, without false negatives."""
+
+    def __init__(self, hashes: DataFrame, bits: int = FILTER_BITS):
+        """``hashes`` has one long column; its bits are or-ed in Spark, at most 2**20 words reach the driver."""
+        low = hashes.toDF("__h").select(F.col("__h").bitwiseAND(F.lit((1 << bits) - 1)).alias("__h"))
+        words = low.select(F.shiftright("__h", 6).alias("word"), F.expr("shiftleft(1L, cast(__h & 63 as int))").alias("bit"))
+        got = words.groupBy("word").agg(F.bit_or("bit").alias("bit")).toPandas()
+        table_ = np.zeros(1 << (bits - 6), np.int64)
+        table_[got["word"].to_numpy(np.int64)] = got["bit"].to_numpy(np.int64)
+        self.bits, self.shared = bits, hashes.sparkSession.sparkContext.broadcast(table_)
+
+    def __getstate__(self):
+        return {"bits": self.bits, "shared": self.shared}
+
+    def test(self, h: np.ndarray) -> np.ndarray:
+        at = h.view(np.int64) & ((1 << self.bits) - 1)
+        return (self.shared.value[at >> 6] >> (at & 63)) & 1 == 1
+
+    def column(self, h: Column) -> Column:
+        test = self.test
+
+        @F.pandas_udf(T.BooleanType())
+        def maybe(h: pd.Series) -> pd.Series:
+            return pd.Series(test(h.to_numpy(np.int64)))
+
+        return maybe(h)
+
+
+def _filter_for(keys: DataFrame) -> BitFilter:
+    return BitFilter(keys.select(F.xxhash64("tkey")), min(FILTER_BITS, max(12, (16 * max(1, keys.count())).bit_length())))
 
 
 def texts_of(documents: DataFrame, keys: DataFrame) -> DataFrame:
     """``keys`` (with a column tkey, unique) joined to one text per key.
 
-    A bit filter of bounded size drops most rows of other texts before the shuffle; repeated
-    texts are reduced to one before it too.
+    A bit filter drops most rows of other texts before the shuffle; repeated texts are reduced to
+    one before it too.
     """
-    spark = documents.sparkSession
-    n = max(1, keys.count())
-    bits = min(_FILTER_BITS, max(12, (16 * n).bit_length()))
-    place = F.col("__h").bitwiseAND(F.lit((1 << bits) - 1))
-    words = (
-        keys.select(F.xxhash64("tkey").alias("__h"))
-        .select(F.shiftright(place, 6).alias("word"), F.expr(f"shiftleft(1L, cast((__h & {(1 << bits) - 1}) & 63 as int))").alias("bit"))
-        .groupBy("word")
-        .agg(F.bit_or("bit").alias("bit"))
-    )
-    table_ = np.zeros(1 << (bits - 6), np.int64)
-    got = words.toPandas()  # at most 2**20 rows
-    table_[got["word"].to_numpy(np.int64)] = got["bit"].to_numpy(np.int64)
-    shared = spark.sparkContext.broadcast(table_)
-
-    @F.pandas_udf(T.BooleanType())
-    def maybe(h: pd.Series) -> pd.Series:
-        at = h.to_numpy(np.int64) & ((1 << bits) - 1)
-        return pd.Series((shared.value[at >> 6] >> (at & 63)) & 1 == 1)
-
     text = documents.select(text_key("text").alias("tkey"), text_or_empty("text").alias("text"))
-    near = text.where(maybe(F.xxhash64("tkey"))).dropDuplicates(["tkey"])
+    near = text.where(_filter_for(keys).column(F.xxhash64("tkey"))).dropDuplicates(["tkey"])
     return near.join(keys, "tkey")
+
+
+def without_texts(documents: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows of ``documents`` whose text is not among ``keys`` (column tkey); only doubtful rows are shuffled."""
+    keyed = documents.withColumn("__tkey", text_key("text"))
+    maybe = _filter_for(keys).column(F.xxhash64("__tkey"))
+    doubt = keyed.where(maybe).join(keys.select(F.col("tkey").alias("__tkey")), "__tkey", "left_anti")
+    return keyed.where(~maybe).unionByName(doubt).drop("__tkey")

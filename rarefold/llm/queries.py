@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rarefold.llm import minhash, packing, quality, repeats, secrets, sharding, tokencount
+from rarefold.llm import decontaminate, minhash, packing, quality, repeats, secrets, sharding, tokencount
 from rarefold.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,6 +60,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+@query("op9_seed_alignment")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op10_secret_scan")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan_documents(table(spark, sf_dir, "documents")))
