@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rarefold.llm import decontaminate, minhash, packing, quality, repeats, secrets, sharding, tokencount
+from rarefold.llm import captures, decontaminate, minhash, packing, quality, repeats, secrets, sharding, tokencount, warc
 from rarefold.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +34,15 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+@query("op2_revisit_resolution")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.resolve_revisits(captures.captures(table(spark, sf_dir, "pages")))
+    return out.select("record_id", "url", "status", "response_id", F.md5("payload").alias("payload_md5"), F.md5(warc.header_text(F.col("headers"))).alias("headers_md5"))
+
+
+ORACLES["op2_revisit_resolution"] = captures.SQL
+
+
 @query("op4_circulant_minhash")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("tkey")
