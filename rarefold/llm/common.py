@@ -96,3 +96,21 @@ def without_texts(documents: DataFrame, keys: DataFrame) -> DataFrame:
     maybe = _filter_for(keys).column(F.xxhash64("__tkey"))
     doubt = keyed.where(maybe).join(keys.select(F.col("tkey").alias("__tkey")), "__tkey", "left_anti")
     return keyed.where(~maybe).unionByName(doubt).drop("__tkey")
+
+
+#: Rows of a small table that may be broadcast; each is a few hundred bytes.
+BROADCAST_ROWS = 20_000
+_SALTS = 32
+
+
+def beside(rows: DataFrame, small: DataFrame, key: str) -> DataFrame:
+    """``rows`` left-joined to ``small`` (unique ``key``, a few numbers a row), however unevenly the keys are spread.
+
+    A counted small table is broadcast; a larger one is copied to salted keys, so that one key's rows go to many tasks.
+    """
+    small = staged(small, "small")
+    if small.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(small), key, "left")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)))
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*[c for c, kind in rows.dtypes if kind in ("bigint", "double", "string")]), F.lit(_SALTS)).cast("int"))
+    return salted.join(small.withColumn("__salt", salts), [key, "__salt"], "left").drop("__salt")

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rarefold.llm.common import WHITE, staged, text_or_empty
+from rarefold.llm.common import WHITE, beside, staged, text_or_empty
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 WINDOW = 8
@@ -137,9 +137,9 @@ def _distance(rows: DataFrame, tag: str, out: str) -> DataFrame:
 def _starting_weights(stats: DataFrame) -> DataFrame:
     """Three deterministic starts: sphered median/MAD, distance of tanh scores, ranks of the first statistic."""
     med = stats.groupBy("__grp").agg(*[F.percentile_approx(x, 0.5, 2000).alias(f"{x}md") for x in _X])
-    dev = stats.join(med, "__grp").withColumns({f"{x}ad": F.abs(F.col(x) - F.col(f"{x}md")) for x in _X})
+    dev = beside(stats, med, "__grp").withColumns({f"{x}ad": F.abs(F.col(x) - F.col(f"{x}md")) for x in _X})
     mad = dev.groupBy("__grp").agg(*[F.percentile_approx(f"{x}ad", 0.5, 2000).alias(f"{x}mad") for x in _X])
-    scored = dev.join(mad, "__grp")
+    scored = beside(dev, mad, "__grp")
     r = {x: F.col(f"{x}ad") / F.greatest(F.col(f"{x}mad") * 1.4826, F.lit(0.1)) for x in _X}
     return scored.withColumns(
         {
@@ -153,7 +153,7 @@ def _starting_weights(stats: DataFrame) -> DataFrame:
 def _concentrate(rows: DataFrame, rules: QualityRules) -> DataFrame:
     """One step: weight 1 for the closest ``support`` of each group under each start, then new moments."""
     cuts = rows.groupBy("__grp").agg(*[F.percentile_approx(f"__d{s}", rules.support, 2000).alias(f"__h{s}") for s in range(_STARTS)])
-    joined = rows.join(cuts, "__grp")
+    joined = beside(rows, cuts, "__grp")
     aggs = []
     for s in range(_STARTS):
         aggs += _moments(joined, (F.col(f"__d{s}") <= F.col(f"__h{s}")).cast("double"), f"__{s}")
@@ -179,7 +179,7 @@ def fit_mcd(stats: DataFrame, rules: QualityRules) -> DataFrame:
             one = _factored(sums, f"__{s}", rules.floor, _CONSISTENT)
             model = one if model is None else model.join(one, "__grp")
         model = staged(model, "mcd-model")
-        rows = stats.join(model, "__grp")
+        rows = beside(stats, model, "__grp")
         for s in range(_STARTS):
             rows = _distance(rows, f"__{s}", f"__d{s}")
         rows = rows.select("__grp", *_X, *[f"__d{s}" for s in range(_STARTS)])
@@ -187,7 +187,7 @@ def fit_mcd(stats: DataFrame, rules: QualityRules) -> DataFrame:
     pick = lambda name: F.coalesce(*[F.when(F.col(f"__{s}det") == best, F.col(f"__{s}{name}")) for s in range(_STARTS)])
     names = [f"m{i}" for i in range(_D)] + [f"l{i}{j}" for i, j in _PAIRS]
     chosen = model.select("__grp", *[pick(n).alias(f"__r{n}") for n in names])
-    near = _distance(stats.join(chosen, "__grp"), "__r", "__d").where(F.col("__d") <= 11.14)  # chi-square, 4 degrees, 0.975
+    near = _distance(beside(stats, chosen, "__grp"), "__r", "__d").where(F.col("__d") <= 11.14)  # chi-square, 4 degrees, 0.975
     again = near.groupBy("__grp").agg(*_moments(near, F.lit(1.0), "__f"))
     return staged(_factored(again, "__f", rules.floor, 1.0), "mcd-final")
 
@@ -209,14 +209,15 @@ def judge(documents: DataFrame, rules: QualityRules = QualityRules(), drop_text:
     d = d.withColumn("__own", F.struct(F.coalesce("lang", F.lit("\x00")).alias("l"), F.coalesce("source", F.lit("\x00")).alias("s")))
     counts = d.where(~F.col("base_failed")).groupBy("__own").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= rules.min_group)
     good = d.where(~F.col("base_failed")).select("__own", *_X)
-    own = good.join(counts, "__own").select(F.struct("__own.l", "__own.s", F.lit(True).alias("own")).alias("__grp"), *_X)
+    counts = staged(counts, "mcd-groups")
+    own = beside(good, counts, "__own").where(F.col("__n").isNotNull()).select(F.struct("__own.l", "__own.s", F.lit(True).alias("own")).alias("__grp"), *_X)
     whole = good.select(F.struct(F.lit("").alias("l"), F.lit("").alias("s"), F.lit(False).alias("own")).alias("__grp"), *_X)
     model = fit_mcd(own.unionByName(whole), rules)
-    d = d.join(counts, "__own", "left")
+    d = beside(d, counts, "__own")
     key = F.when(F.col("__n").isNotNull(), F.struct("__own.l", "__own.s", F.lit(True).alias("own"))).otherwise(
         F.struct(F.lit("").alias("l"), F.lit("").alias("s"), F.lit(False).alias("own"))
     )
-    d = d.withColumn("__grp", key).join(model, "__grp", "left")
+    d = beside(d.withColumn("__grp", key), model, "__grp")
     d = _distance(d, "__f", "distance")
     verdict = ~F.col("base_failed") & F.coalesce(F.col("distance") <= rules.cut, F.lit(False))
     return d.select(*[F.col(f"`{c}`") for c in kept.columns], "distance", verdict.alias("kept"))
