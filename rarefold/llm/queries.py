@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rarefold.llm import captures, decontaminate, minhash, packing, quality, repeats, secrets, sharding, tokencount, warc
+from rarefold.llm import captures, decontaminate, lmscore, minhash, packing, quality, repeats, secrets, sharding, tokencount, warc
 from rarefold.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,6 +43,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op2_revisit_resolution"] = captures.SQL
 
 
+@query("op3_cross_entropy_difference")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return lmscore.cross_entropy_difference(table(spark, sf_dir, "documents"), good)
+
+
 @query("op4_circulant_minhash")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("tkey")
