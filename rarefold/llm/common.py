@@ -114,3 +114,15 @@ def beside(rows: DataFrame, small: DataFrame, key: str) -> DataFrame:
     salts = F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)))
     salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*[c for c, kind in rows.dtypes if kind in ("bigint", "double", "string")]), F.lit(_SALTS)).cast("int"))
     return salted.join(small.withColumn("__salt", salts), [key, "__salt"], "left").drop("__salt")
+
+
+def on_columns(documents: DataFrame, needed: tuple[str, ...], step) -> DataFrame:
+    """``step`` applied to ``documents`` with only ``needed`` under their names; then all names as they were.
+
+    Other columns ride along under names that nothing clashes with, whatever they are called. ``step`` must return
+    all columns it gets; it may add some, which go.
+    """
+    names = documents.columns
+    inner = [c if c in needed and names.index(c) == i else f"__c{i}" for i, c in enumerate(names)]
+    out = step(documents.toDF(*inner)).select(*inner)
+    return out.toDF(*names)

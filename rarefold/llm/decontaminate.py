@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rarefold.llm.common import BitFilter, staged, text_key, text_or_empty, texts_of, without_texts
+from rarefold.llm.common import BitFilter, on_columns, staged, text_key, text_or_empty, texts_of, without_texts
 
 _WORD = re.compile(r"\w+")
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -178,4 +178,5 @@ def contaminated_documents(documents: DataFrame, benchmark: DataFrame, p: Decont
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, p: Decontamination = Decontamination()) -> DataFrame:
     """``documents`` without the rows that hold a passage of the benchmark."""
-    return without_texts(documents, contaminated(documents, benchmark, p).select("tkey").distinct())
+    step = lambda d: without_texts(d, contaminated(d, benchmark, p).select("tkey").distinct())
+    return on_columns(documents, ("text",), step)

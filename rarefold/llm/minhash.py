@@ -24,7 +24,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rarefold.llm.common import shuffle_partitions, staged, text_key, text_or_empty, texts_of
+from rarefold.llm.common import FILTER_BITS, BitFilter, on_columns, shuffle_partitions, staged, text_key, text_or_empty, texts_of
 from rarefold.llm.graph import components
 
 
@@ -165,7 +165,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, p: NearDuplicates) -> DataFrame:
 
 
 def near_duplicates(documents: DataFrame, p: NearDuplicates = NearDuplicates()) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, tkey for every row of ``documents``.
+    """doc_id, n_shingles, component_id, kept, tkey, comp for every row of ``documents``.
 
     component_id is the smallest doc_id of the rows linked directly or through others;
     ``kept`` marks the row that has it. A null or wordless text has no shingle and is linked with
@@ -207,7 +207,32 @@ def near_duplicates(documents: DataFrame, p: NearDuplicates = NearDuplicates())
 
     named = nodes.join(comp, "node", "left").select("set_key", "doc", F.coalesce("comp", "node").alias("comp"))
     least = named.groupBy("comp").agg(F.min("doc").alias("component_id"))
-    named = named.join(least, "comp").select("set_key", "component_id")
+    named = named.join(least, "comp").select("set_key", "component_id", "comp")
     out = rows.drop("bands").join(named, "set_key", "left")
     group = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", group.alias("component_id"), F.col("doc_id").eqNullSafe(group).alias("kept"), "tkey")
+    return out.select("doc_id", "n_shingles", group.alias("component_id"), F.col("doc_id").eqNullSafe(group).alias("kept"), "tkey", "comp")
+
+
+def deduplicate(documents: DataFrame, p: NearDuplicates = NearDuplicates()) -> DataFrame:
+    """``documents`` with one row of each group of near duplicates: one that has the group's smallest doc_id.
+
+    Of rows that share that doc_id the one with the least text key stays, and one of rows that share the text too; texts without
+    words are in no group and all stay. Only rows that may go are shuffled.
+    """
+
+    def step(d: DataFrame) -> DataFrame:
+        row_key = lambda key: F.unhex(F.md5(F.concat(F.hex(key), F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("")))))
+        found = staged(near_duplicates(d, p).where(F.col("comp").isNotNull()).select("comp", "kept", "tkey", row_key(F.col("tkey")).alias("row")), "near")
+        first = found.where("kept").groupBy("comp").agg(F.min(F.struct("tkey", "row")).alias("first")).select(F.col("first.row").alias("row"), F.lit(True).alias("stays"))
+        rows = found.groupBy("row").agg(F.count(F.lit(1)).alias("copies")).join(first, "row", "left")
+        ruled = rows.where(F.col("stays").isNull() | (F.col("copies") > 1)).select(F.col("row").alias("__row"), F.coalesce("stays", F.lit(False)).alias("__stays"))
+        ruled = staged(ruled, "ruled")
+        keyed = d.withColumn("__row", row_key(text_key("text")))
+        n = max(1, ruled.count())
+        maybe = BitFilter(ruled.select(F.xxhash64("__row")), min(FILTER_BITS, max(12, (16 * n).bit_length()))).column(F.xxhash64("__row"))
+        doubt = keyed.where(maybe).join(ruled, "__row", "left")
+        free = doubt.where(F.col("__stays").isNull())
+        single = doubt.where("__stays").dropDuplicates(["__row"])
+        return keyed.where(~maybe).unionByName(free.unionByName(single).drop("__stays"))
+
+    return on_columns(documents, ("doc_id", "text"), step)

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rarefold.llm.common import WHITE, beside, staged, text_or_empty
+from rarefold.llm.common import WHITE, beside, on_columns, staged, text_or_empty
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 WINDOW = 8
@@ -221,3 +221,8 @@ def judge(documents: DataFrame, rules: QualityRules = QualityRules(), drop_text:
     d = _distance(d, "__f", "distance")
     verdict = ~F.col("base_failed") & F.coalesce(F.col("distance") <= rules.cut, F.lit(False))
     return d.select(*[F.col(f"`{c}`") for c in kept.columns], "distance", verdict.alias("kept"))
+
+
+def keep_good(documents: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
+    """The rows of ``documents`` that ``judge`` keeps, with the columns they have."""
+    return on_columns(documents, ("text", "lang", "source"), lambda d: judge(d, rules).where("kept"))

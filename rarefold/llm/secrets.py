@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rarefold.llm.common import text_or_empty
+from rarefold.llm.common import on_columns, text_or_empty
 
 #: Kinds in the order in which equal starts are listed.
 KINDS = ("assign", "access", "hex", "crctoken", "wif", "jwt")
@@ -162,22 +162,20 @@ def scan_documents(documents: DataFrame) -> DataFrame:
 
 
 def redact_documents(documents: DataFrame) -> DataFrame:
-    """``documents`` with secrets replaced in ``text`` (null stays null) and ``n_chars``, if present, recounted."""
-    new = redacted(F.col("text"))
-    if "n_chars" not in documents.columns:
-        return documents.withColumn("text", new)
-    # recount only what changed, so that an untouched row stays as it was
-    old = documents.withColumn("__new_text", new)
-    changed = ~F.col("text").eqNullSafe(F.col("__new_text"))
-    kind = documents.schema["n_chars"].dataType
-    return old.select(
-        *[
-            F.col("__new_text").alias("text") if c == "text"
-            else F.when(changed, F.char_length("__new_text").cast(kind)).otherwise(F.col("n_chars")).alias("n_chars") if c == "n_chars"
-            else F.col(f"`{c}`")
-            for c in documents.columns
-        ]
-    )
+    """``documents`` with secrets replaced in ``text`` (null stays null) and ``n_chars``, if present, recounted.
+
+    Rows without a secret and all other columns stay as they are.
+    """
+
+    def step(d: DataFrame) -> DataFrame:
+        d = d.withColumn("__old", F.col("text")).withColumn("text", redacted(F.col("text")))
+        if "n_chars" not in d.columns:
+            return d
+        changed = ~F.col("text").eqNullSafe(F.col("__old"))
+        count = F.char_length("text").cast(d.schema["n_chars"].dataType)
+        return d.withColumn("n_chars", F.when(changed, count).otherwise(F.col("n_chars")))
+
+    return on_columns(documents, ("text", "n_chars"), step)
 
 
 def digest(scanned: DataFrame) -> DataFrame:
