@@ -6,8 +6,9 @@ minima of a document are minima over contiguous slices of one table. Bands of
 the signature propose pairs; a pair counts only if the full shingle sets agree.
 
 Groups are never expanded to all pairs. Equal sets are one node. In a bucket every node
-is first checked against the bucket's least node; after connected components, only nodes of the
-same bucket in *different* components are compared, all of them.
+is first checked against the bucket's least node. After connected components, nodes of a bucket in *different*
+components are compared by small histograms that bound their intersection from above, block by block inside tasks, and only
+pairs that would join two components go on to the exact check; once those are in, every pair that is still open does.
 """
 
 from __future__ import annotations
@@ -40,6 +41,9 @@ class NearDuplicates:
     seed: int = 7
     #: pairs of one center that one sorted run checks; a center with more has several runs
     run: int = 512
+    #: cells of the histogram that bounds intersections, and nodes of a bucket in one block
+    cells: int = 256
+    block: int = 1024
 
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -95,25 +99,32 @@ def _band_keys(sig: np.ndarray, p: NearDuplicates) -> np.ndarray:
     return h.view(np.int64)
 
 
+def _histogram(hashes: np.ndarray, p: NearDuplicates) -> bytes:
+    """Shingles per cell; the sum of cellwise minima of two sets is at least their intersection."""
+    n = np.bincount((hashes >> np.uint64(40)).astype(np.int64) % p.cells, minlength=p.cells)
+    return n.astype(np.uint16 if len(hashes) < 1 << 16 else np.uint32).tobytes()
+
+
 def sketch(documents: DataFrame, p: NearDuplicates) -> DataFrame:
-    """doc_id, tkey, n_shingles, set_key (null if empty) and band keys for every row."""
+    """doc_id, tkey, n_shingles, set_key (null if empty), band keys and histogram for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, keys, bands = [], [], []
+            sizes, keys, bands, cells = [], [], [], []
             for text in batch.column("text").to_pylist():
                 h = shingles(text, p.words)
                 sizes.append(len(h))
                 keys.append(hashlib.md5(h.tobytes()).digest() if len(h) else None)
                 bands.append(_band_keys(signature(h, p), p) if len(h) else None)
+                cells.append(_histogram(h, p) if len(h) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("tkey"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                ["doc_id", "tkey", "n_shingles", "set_key", "bands"],
+                [batch.column("doc_id"), batch.column("tkey"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(cells, pa.binary())],
+                ["doc_id", "tkey", "n_shingles", "set_key", "bands", "cells"],
             )
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     rows = documents.select("doc_id", text_key("text").alias("tkey"), text_or_empty("text").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, tkey binary, n_shingles long, set_key binary, bands array<long>")
+    return rows.mapInArrow(run, f"doc_id {kind}, tkey binary, n_shingles long, set_key binary, bands array<long>, cells binary")
 
 
 def _sets(documents: DataFrame, nodes: DataFrame, wanted: DataFrame, p: NearDuplicates) -> DataFrame:
@@ -164,6 +175,71 @@ def _linked(pairs: DataFrame, sets: DataFrame, p: NearDuplicates) -> DataFrame:
     return staged(rows.mapInArrow(run, "a long, b long"), "linked")
 
 
+def _across(buckets: DataFrame, comp: DataFrame, cells: DataFrame, p: NearDuplicates, every: bool) -> DataFrame:
+    """Pairs (a, b) of one bucket in different components whose histograms allow a link.
+
+    Unless ``every``, a group gives only pairs that join components that it has not joined already. A bucket is cut into
+    blocks, and each two blocks are one group, so no task holds more than two blocks of a bucket.
+    """
+    spark = buckets.sparkSession
+    placed = buckets.join(comp, "node", "left").select("key", "node", "n", F.coalesce("comp", "node").alias("comp"))
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.ceil(F.count(F.lit(1)) / F.lit(p.block)).alias("blocks"))
+    placed = placed.join(mixed.where(F.col("lo") < F.col("hi")).select("key", "blocks"), "key")
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = placed.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "comp").join(cells, "node")
+    rows = rows.repartition(shuffle_partitions(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def group(j: int, own: list[int], node: list[int], n: list[int], comp: list[int], cells: list[bytes]) -> Iterator[tuple[int, int]]:
+        node, n, comp, second = np.array(node), np.array(n), np.array(comp), np.array(own) == j
+        hist = np.stack([np.frombuffer(c, np.uint16 if m < 1 << 16 else np.uint32) for c, m in zip(cells, n.tolist(), strict=True)])
+        both = not second.all() and second.any()  # two blocks: only pairs between them are this group's
+        names = {c: c for c in comp.tolist()}
+
+        def top(c: int) -> int:
+            while names[c] != c:
+                names[c] = c = names[names[c]]
+            return c
+
+        for x in range(len(node) - 1):
+            y = np.arange(x + 1, len(node))
+            ok = (comp[y] != comp[x]) & (100 * np.minimum(n[y], n[x]) >= p.percent * np.maximum(n[y], n[x]))
+            y = y[ok & (second[y] != second[x])] if both else y[ok]
+            if not len(y):
+                continue
+            common = np.minimum(hist[y], hist[x]).sum(axis=1, dtype=np.int64)
+            for z in y[100 * common >= p.percent * (n[y] + n[x] - common)].tolist():
+                a, b = top(int(comp[x])), top(int(comp[z]))
+                if every or a != b:
+                    names[a] = b
+                    yield min(int(node[x]), int(node[z])), max(int(node[x]), int(node[z]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last, found = [], None, []
+        columns = ("own", "node", "n", "comp", "cells")
+
+        def close() -> None:
+            if len(held) > 1:
+                found.extend(group(last[2], *map(list, zip(*held, strict=True))))
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            for key, row in zip(zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j")), strict=True), zip(*(batch.column(c).to_pylist() for c in columns), strict=True), strict=True):
+                if key != last:
+                    close()
+                    held, last = [], key
+                held.append(row)
+            if len(found) > 10_000:
+                yield out()
+                found.clear()
+        close()
+        yield out()
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
 def near_duplicates(documents: DataFrame, p: NearDuplicates = NearDuplicates()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, tkey, comp for every row of ``documents``.
 
@@ -175,7 +251,7 @@ def near_duplicates(documents: DataFrame, p: NearDuplicates = NearDuplicates())
     """
     rows = staged(sketch(documents, p), "sketch")
     own = rows.where(F.col("set_key").isNotNull())
-    nodes = own.groupBy("set_key").agg(F.min("doc_id").alias("doc"), F.min("tkey").alias("tkey"), F.min("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    nodes = own.groupBy("set_key").agg(F.min("doc_id").alias("doc"), F.min("tkey").alias("tkey"), F.min("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("cells").alias("cells"))
     nodes = staged(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
     buckets = nodes.select(F.explode("bands").alias("key"), "node", "n")
@@ -189,26 +265,18 @@ def near_duplicates(documents: DataFrame, p: NearDuplicates = NearDuplicates())
     links = _linked(star, _sets(documents, nodes, ends(star), p), p)
     comp = staged(components(links), "comp")
 
-    # what is left: nodes that share a bucket but not a component
-    placed = buckets.join(comp, "node", "left").select("key", "node", "n", F.coalesce("comp", "node").alias("comp"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") < F.col("hi")).select("key")
-    placed = staged(placed.join(mixed, "key", "left_semi"), "placed")
-    in_key = placed.groupBy("key", "comp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    x, y = in_key.alias("x"), in_key.alias("y")
-    close = (100 * F.col("x.hi") >= p.percent * F.col("y.lo")) & (100 * F.col("y.hi") >= p.percent * F.col("x.lo"))
-    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & close).select("x.key", F.col("x.comp").alias("c1"), F.col("y.comp").alias("c2"))
-    p1 = placed.select("key", F.col("comp").alias("c1"), F.col("node").alias("a"), F.col("n").alias("na"))
-    p2 = placed.select("key", F.col("comp").alias("c2"), F.col("node").alias("b"), F.col("n").alias("nb"))
-    cross = across.join(p1, ["key", "c1"]).join(p2, ["key", "c2"]).where(fits(F.col("na"), F.col("nb")))
-    cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    cross = staged(cross.join(star, ["a", "b"], "left_anti"), "cross")
-    more = _linked(cross, _sets(documents, nodes, ends(cross), p), p)
-    comp = staged(components(links.unionByName(more)), "comp")
+    # what is left: nodes that share a bucket but not a component; first enough pairs to join components, then all that are open
+    for every in (False, True):
+        pairs = staged(_across(buckets.select("key", "node", "n"), comp, nodes.select("node", "cells"), p, every), "cross")
+        if pairs.isEmpty():
+            break
+        links = links.unionByName(_linked(pairs, _sets(documents, nodes, ends(pairs), p), p))
+        comp = staged(components(links), "comp")
 
     named = nodes.join(comp, "node", "left").select("set_key", "doc", F.coalesce("comp", "node").alias("comp"))
     least = named.groupBy("comp").agg(F.min("doc").alias("component_id"))
     named = named.join(least, "comp").select("set_key", "component_id", "comp")
-    out = rows.drop("bands").join(named, "set_key", "left")
+    out = rows.drop("bands", "cells").join(named, "set_key", "left")
     group = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", group.alias("component_id"), F.col("doc_id").eqNullSafe(group).alias("kept"), "tkey", "comp")
 
