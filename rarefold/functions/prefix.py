@@ -1,65 +1,56 @@
 """Exact global running sums without a single-partition window.
 
-``Window.orderBy(x)`` with no ``partitionBy`` moves every row into one task.
-The helpers here give the same answer with the work spread over range buckets:
-
-1. cut points = ``percentile_approx`` of the order key (any cut points give an
-   exact answer, the approximation only affects balance);
-2. a value that fills two or more cut intervals (a hot key) gets a bucket of its
-   own; with a tie-break column that bucket is split again on tie-break ranges,
-   without one every row of it is a peer and needs no window at all;
-3. per-bucket totals -> running offsets over the (small) bucket table -> joined
-   back; inside each bucket an ordinary window adds the local running sum.
-
-Partition columns (e.g. a model name or a bootstrap replicate) keep separate
-running sums per group while sharing one set of cut points.
+``Window.orderBy(x)`` with no ``partitionBy`` moves every row into one task. Here
+the rows are range-partitioned on the whole order (order column, then tie-break,
+of any orderable types), so a value that holds a large share of the rows is
+split on its tie-break. Each range's totals give the offsets of the ranges after
+it (one row per range and group), and an ordinary window adds the running sum
+inside each range. The ranges are written once to the shared folder, so totals
+and rows see the same cut; where the cuts fall changes balance, never the answer.
+
+Without a tie-break, equal order values are peers: they are summed first, the
+distinct values get running totals, and the rows look theirs up.
 """
 
 from __future__ import annotations
 
-import math
-from collections import Counter
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_K, _K0, _B1, _B2, _T0 = "__rt_key", "__rt_key0", "__rt_b1", "__rt_b2", "__rt_tb0"
+from rarefold.session import staged
 
+_KEY, _RANGE = "__rt_key", "__rt_range"
 
-def as_double(df: DataFrame, name: str) -> Column:
-    """A monotone (non-decreasing) double image of an orderable column."""
+
+def _order_value(df: DataFrame, name: str) -> Column:
+    """The column itself; NaN counts as null in floating columns."""
     t = df.schema[name].dataType
-    c = F.col(name)
-    if isinstance(t, T.TimestampNTZType):
-        return F.expr(
-            f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{name}`)"
-        ).cast("double")
-    if isinstance(t, T.TimestampType):
-        return F.unix_micros(c).cast("double")
-    if isinstance(t, T.DateType):
-        return F.unix_date(c).cast("double")
-    if isinstance(t, (T.NumericType, T.BooleanType)):
-        return c.cast("double")
-    raise TypeError(f"cannot range-bucket column {name} of type {t}")
-
-
-def default_buckets(df: DataFrame) -> int:
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(8, min(4 * parts, 100_000))
-
-
-def _splits(cuts, isolate_heavy: bool):
-    finite = [c for c in (cuts or []) if c is not None and math.isfinite(c)]
-    counts = Counter(finite)
-    heavy = sorted(v for v, k in counts.items() if k >= 2) if isolate_heavy else []
-    pts = set(finite) | {math.nextafter(v, math.inf) for v in heavy}
-    splits = [-math.inf] + sorted(pts) + [math.inf]
-    if len(splits) < 3:
-        splits = [-math.inf, 0.0, math.inf]
-    return splits, heavy
+    c = F.col(f"`{name}`")
+    return F.nanvl(c, F.lit(None).cast(t)) if isinstance(t, (T.DoubleType, T.FloatType)) else c
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on keys that may be null; the right side's keys are dropped."""
+    r = right.select(*[F.col(f"`{c}`").alias(f"__r{keys.index(c)}" if c in keys else c) for c in right.columns])
+    cond = None
+    for i, k in enumerate(keys):
+        one = left[f"`{k}`"].eqNullSafe(r[f"__r{i}"])
+        cond = one if cond is None else cond & one
+    return left.join(r, cond).drop(*[f"__r{i}" for i in range(len(keys))])
+
+
+def _ordered(df: DataFrame, groups: Sequence[str], order: Sequence[Column], sums: Mapping[str, Column], ranges: int) -> DataFrame:
+    g = [F.col(f"`{c}`") for c in groups]
+    rows = staged(df.repartitionByRange(ranges, *[c.asc() for c in g], *order).withColumn(_RANGE, F.spark_partition_id()), "ranges")
+    tot = rows.groupBy(*g, _RANGE).agg(*[F.sum(e).alias(f"__tot_{k}") for k, e in sums.items()])
+    before = Window.partitionBy(*g).orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    offs = tot.select(*g, _RANGE, *[F.coalesce(F.sum(f"__tot_{k}").over(before), F.lit(0)).alias(f"__off_{k}") for k in sums])
+    inside = Window.partitionBy(*g, _RANGE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    j = null_safe_join(rows, offs, [*groups, _RANGE])
+    return j.select("*", *[(F.col(f"__off_{k}") + F.sum(e).over(inside)).alias(k) for k, e in sums.items()]).drop(_RANGE, *[f"__off_{k}" for k in sums])
 
 
 def running_totals(
@@ -71,73 +62,25 @@ def running_totals(
     tiebreak: str | None = None,
     partition_by: Sequence[str] = (),
     n_buckets: int | None = None,
+    unique: bool = False,
 ) -> DataFrame:
     """Add inclusive running sums in the global order of ``order`` (then ``tiebreak``).
 
-    Without a tie-break, rows with equal ``order`` are peers and share one total
-    (SQL ``RANGE`` frame). With one, the order is total (``ROWS`` frame).
-    Nulls come first ascending and last descending, as in Spark.
+    Without a tie-break, rows with equal ``order`` are peers and share one total (SQL ``RANGE``
+    frame), unless ``unique`` says that there are none. With one, the order is total (``ROWS``
+    frame). Nulls come first ascending and last descending, as in Spark; NaN counts as null.
     """
     pb = list(partition_by)
-    nb = n_buckets or default_buckets(df)
-    key = F.nanvl(as_double(df, order), F.lit(None).cast("double"))
-    if descending:
-        key = -key
-    base = df.withColumn(_K, key)
-    probs = [i / nb for i in range(1, nb)]
-    acc = max(10_000, 10 * nb)
-    cuts = base.agg(F.percentile_approx(_K, probs, acc)).first()[0]
-    splits, heavy = _splits(cuts, True)
-    base = Bucketizer(splits=splits, inputCol=_K0, outputCol=_B1, handleInvalid="keep").transform(
-        base.withColumn(_K0, F.coalesce(F.col(_K), F.lit(0.0)))
-    )
-    null_bucket = -1 if not descending else len(splits) + 1
-    base = base.withColumn(
-        _B1, F.when(F.col(_K).isNull(), F.lit(null_bucket)).otherwise(F.col(_B1).cast("int"))
-    )
-    is_heavy = F.col(_K).isin(heavy) if heavy else F.lit(False)
-    if heavy and tiebreak:
-        tb = F.nanvl(as_double(df, tiebreak), F.lit(None).cast("double"))
-        sub = base.where(is_heavy).agg(F.percentile_approx(tb, probs, acc)).first()[0]
-        sub_splits, _ = _splits(sub, False)
-        base = Bucketizer(splits=sub_splits, inputCol=_T0, outputCol=_B2, handleInvalid="keep").transform(
-            base.withColumn(_T0, F.coalesce(tb, F.lit(0.0)))
-        )
-        base = base.withColumn(_B2, F.when(is_heavy, F.col(_B2).cast("int")).otherwise(F.lit(0)))
-    else:
-        base = base.withColumn(_B2, F.lit(0))
+    ranges = n_buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     exprs = {k: (F.col(v) if isinstance(v, str) else v) for k, v in sums.items()}
-    tot = base.groupBy(*pb, _B1, _B2).agg(*[F.sum(e).alias(f"__tot_{k}") for k, e in exprs.items()])
-    wo = Window.partitionBy(*pb).orderBy(_B1, _B2).rowsBetween(Window.unboundedPreceding, -1)
-    offs = tot.select(
-        *pb,
-        _B1,
-        _B2,
-        *[F.coalesce(F.sum(f"__tot_{k}").over(wo), F.lit(0)).alias(f"__off_{k}") for k in exprs],
-        *[F.col(f"__tot_{k}") for k in exprs],
-    )
-    if not pb:
-        # at most (len(splits) + 2) x (sub-splits) rows: bounded by construction
-        offs = F.broadcast(offs)
-    j = base.join(offs, [*pb, _B1, _B2])
-    kcol = F.col(_K).asc_nulls_first() if not descending else F.col(_K).asc_nulls_last()
-    ocol = F.col(order).asc() if not descending else F.col(order).desc()
-    ordering = [kcol, ocol] + ([F.col(tiebreak).asc()] if tiebreak else [])
-    w = Window.partitionBy(*pb, _B1, _B2).orderBy(*ordering)
-    w = w.rowsBetween(Window.unboundedPreceding, 0) if tiebreak else w.rangeBetween(Window.unboundedPreceding, 0)
-    temp = [_K, _K0, _B1, _B2, _T0] + [f"__off_{k}" for k in exprs] + [f"__tot_{k}" for k in exprs]
-    windowed = j.where(~is_heavy | F.lit(bool(tiebreak))).select(
-        *[c for c in j.columns],
-        *[(F.col(f"__off_{k}") + F.sum(e).over(w)).alias(k) for k, e in exprs.items()],
-    )
-    if heavy and not tiebreak:
-        # a single-value bucket without tie-break: every row is a peer of all others
-        peers = j.where(is_heavy).select(
-            *[c for c in j.columns],
-            *[(F.col(f"__off_{k}") + F.col(f"__tot_{k}")).alias(k) for k in exprs],
-        )
-        windowed = windowed.unionByName(peers)
-    return windowed.drop(*[c for c in temp if c in windowed.columns])
+    base = df.withColumn(_KEY, _order_value(df, order))
+    by = lambda c: F.col(f"`{c}`").desc_nulls_last() if descending else F.col(f"`{c}`").asc_nulls_first()
+    if tiebreak is not None or unique:
+        ties = [F.col(f"`{tiebreak}`").asc_nulls_first()] if tiebreak is not None else []
+        return _ordered(base, pb, [by(_KEY), *ties], exprs, ranges).drop(_KEY)
+    values = base.groupBy(*pb, _KEY).agg(*[F.sum(e).alias(f"__sum_{k}") for k, e in exprs.items()])
+    totals = _ordered(values, pb, [by(_KEY)], {k: F.col(f"__sum_{k}") for k in exprs}, ranges)
+    return null_safe_join(base, totals.drop(*[f"__sum_{k}" for k in exprs]), [*pb, _KEY]).drop(_KEY)
 
 
 def global_row_number(
@@ -154,16 +97,12 @@ def global_row_number(
 
     When ``order`` itself is unique, ``tiebreak`` may be omitted.
     """
-    tb = tiebreak
-    if tb is None:
-        tb = order
-    r = running_totals(
+    return running_totals(
         df,
         order,
         {out: F.lit(1).cast("long")},
         descending=descending,
-        tiebreak=tb,
+        tiebreak=tiebreak if tiebreak is not None else order,
         partition_by=partition_by,
         n_buckets=n_buckets,
     )
-    return r

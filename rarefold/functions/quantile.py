@@ -14,13 +14,27 @@ aggregation buffer. Here the work stays distributed:
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rarefold.functions.prefix import _splits, default_buckets
+
+
+def default_buckets(df: DataFrame) -> int:
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return max(8, min(4 * parts, 100_000))
+
+
+def _splits(cuts) -> list[float]:
+    """Bucket borders from cut points; a value that fills several cut intervals gets a bucket of its own."""
+    finite = [c for c in (cuts or []) if c is not None and math.isfinite(c)]
+    heavy = [v for v, k in Counter(finite).items() if k >= 2]
+    pts = set(finite) | {math.nextafter(v, math.inf) for v in heavy}
+    splits = [-math.inf, *sorted(pts), math.inf]
+    return splits if len(splits) > 2 else [-math.inf, 0.0, math.inf]
 
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], q: float = 0.5, n_buckets: int | None = None) -> dict[str, float | None]:
@@ -35,7 +49,7 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], q: float = 0.5, n_bucket
         *[F.count(f"c{i}").alias(f"n{i}") for i in range(len(cols))],
         *[F.percentile_approx(f"c{i}", probs, acc).alias(f"p{i}") for i in range(len(cols))],
     ).first()
-    splits = [_splits(stats[f"p{i}"], True)[0] for i in range(len(cols))]
+    splits = [_splits(stats[f"p{i}"]) for i in range(len(cols))]
     bz = Bucketizer(
         splitsArray=splits,
         inputCols=[f"z{i}" for i in range(len(cols))],

@@ -12,8 +12,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from rarefold.functions.prefix import global_row_number, running_totals
+from rarefold.functions.prefix import global_row_number, null_safe_join, running_totals
 
 DEFAULT_FPR_TARGETS = (1e-3, 1e-4)
 
@@ -38,13 +39,28 @@ def hard_prediction(score: Column | str, threshold: float = 0.5) -> Column:
     return (s >= F.lit(threshold)).cast("int")
 
 
-def curve_table(df: DataFrame, label: str, score: str, group_cols: Sequence[str] = (), weight: str | None = None) -> DataFrame:
+def _scored(df: DataFrame, label: str, score: str, nulls: str) -> DataFrame:
+    """The rule for missing values: ``raise`` fails on a null or NaN score or a null label; ``lowest``
+    leaves out rows without a label and ranks rows without a score below all others."""
+    if nulls not in ("raise", "lowest"):
+        raise ValueError(f"nulls must be 'raise' or 'lowest', not {nulls!r}")
+    kind = df.schema[score].dataType
+    s = F.col(score)
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        s = F.nanvl(s, F.lit(None).cast(kind))
+    if nulls == "lowest":
+        return df.where(F.col(label).isNotNull()).withColumn(score, s)
+    missing = F.raise_error(F.lit(f"a score or label is missing ({score}, {label})")).cast(kind)
+    return df.withColumn(score, F.when(s.isNull() | F.col(label).isNull(), missing).otherwise(s))
+
+
+def curve_table(df: DataFrame, label: str, score: str, group_cols: Sequence[str] = (), weight: str | None = None, nulls: str = "raise") -> DataFrame:
     """Per (group, distinct score): pos, neg, cnt and running cum_pos/cum_neg/cum_cnt
     in descending score order, plus the group's P and N. ``weight`` counts a row
-    that many times (bootstrap multiplicities)."""
+    that many times. Missing scores: see ``_scored``."""
     g = _g(group_cols)
     w = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
-    grouped = df.groupBy(*g, score).agg(
+    grouped = _scored(df, label, score, nulls).groupBy(*g, score).agg(
         F.sum(F.col(label).cast("long") * w).alias("pos"), F.sum(w).alias("cnt")
     )
     grouped = grouped.withColumn("neg", F.col("cnt") - F.col("pos"))
@@ -54,10 +70,11 @@ def curve_table(df: DataFrame, label: str, score: str, group_cols: Sequence[str]
         {"cum_pos": F.col("pos"), "cum_cnt": F.col("cnt")},
         descending=True,
         partition_by=g,
+        unique=True,
     ).withColumn("cum_neg", F.col("cum_cnt") - F.col("cum_pos"))
-    totals = grouped.groupBy(*g).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    totals = cur.groupBy(*g).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     if g:
-        return cur.join(totals, g)
+        return null_safe_join(cur, totals, g)
     # one-row totals, joined on a constant key
     one = F.lit(1)
     return cur.withColumn("__one", one).join(F.broadcast(totals.withColumn("__one", one)), "__one").drop("__one")
@@ -70,18 +87,22 @@ def ranking_metrics(
     group_cols: Sequence[str] = (),
     fpr_targets: Sequence[float] = DEFAULT_FPR_TARGETS,
     weight: str | None = None,
+    nulls: str = "raise",
 ) -> DataFrame:
-    """I3 (auc_roc), I4 (auc_pr), I7 (recall_at_fpr_*) per group; undefined -> null."""
+    """I3 (auc_roc), I4 (auc_pr), I7 (recall_at_fpr_*) per group; undefined -> null.
+
+    Counts are longs; products of counts are taken in double, as they pass 2^63 at a few billion rows."""
     g = _g(group_cols)
-    c = curve_table(df, label, score, g, weight)
-    P, N = F.first("P"), F.first("N")
+    c = curve_table(df, label, score, g, weight, nulls)
+    P, N = F.first("P").cast("double"), F.first("N").cast("double")
+    below = F.col("cum_pos") - F.col("pos") + F.col("pos") / 2.0
     aggs = [
-        (F.sum(F.col("neg") * (F.col("cum_pos") - F.col("pos") + F.col("pos") / 2.0)) / F.nullif(P * N, F.lit(0))).alias("auc_roc"),
-        (F.sum(F.col("pos") * (F.col("cum_pos") / F.col("cum_cnt"))) / F.nullif(P, F.lit(0))).alias("auc_pr"),
+        (F.sum(F.col("neg").cast("double") * below) / F.nullif(P * N, F.lit(0.0))).alias("auc_roc"),
+        (F.sum(F.col("pos") * (F.col("cum_pos") / F.col("cum_cnt"))) / F.nullif(P, F.lit(0.0))).alias("auc_pr"),
     ]
     for t in fpr_targets:
         hit = F.max(F.when(F.col("cum_neg") <= F.lit(t) * F.col("N"), F.col("cum_pos")))
-        aggs.append((F.coalesce(hit, F.lit(0)) / F.nullif(P, F.lit(0))).alias(fpr_key(t)))
+        aggs.append((F.coalesce(hit, F.lit(0)) / F.nullif(P, F.lit(0.0))).alias(fpr_key(t)))
     out = c.groupBy(*g).agg(*aggs, F.first("P").alias("__P"), F.first("N").alias("__N"))
     undefined = (F.col("__P") == 0) | (F.col("__N") == 0)
     cols = ["auc_roc", "auc_pr"] + [fpr_key(t) for t in fpr_targets]
@@ -95,10 +116,10 @@ def ranking_metrics(
 
 
 def confusion_counts(df: DataFrame, label: str, score: str, threshold: float = 0.5, group_cols: Sequence[str] = (), weight: str | None = None) -> DataFrame:
-    """Tn, fp, fn, tp per group (label order 0, 1 even if a class is absent)."""
+    """Tn, fp, fn, tp per group (label order 0, 1 even if a class is absent). A missing score predicts 0."""
     g = _g(group_cols)
     y = F.col(label)
-    p = hard_prediction(score, threshold)
+    p = F.coalesce(hard_prediction(F.nanvl(F.col(score).cast("double"), F.lit(None).cast("double")), threshold), F.lit(0))
     w = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
 
     def cnt(cond):
@@ -142,6 +163,7 @@ def metric_row(
     fpr_targets: Sequence[float] = DEFAULT_FPR_TARGETS,
     group_cols: Sequence[str] = (),
     flat: bool = False,
+    nulls: str = "raise",
 ) -> DataFrame:
     """I8: the full metric record, one row per group.
 
@@ -149,10 +171,10 @@ def metric_row(
     confusion_matrix STRUCT<tn, fp, fn, tp> (or four flat columns), recall_at_fpr_*.
     """
     g = _g(group_cols)
-    r = ranking_metrics(df, label, score, g, fpr_targets)
+    r = ranking_metrics(df, label, score, g, fpr_targets, nulls=nulls)
     t = threshold_metrics(df, label, score, threshold, g)
     if g:
-        j = r.join(t, g, "full")
+        j = null_safe_join(r, t, g)
     else:
         j = r.withColumn("__one", F.lit(1)).join(t.withColumn("__one", F.lit(1)), "__one").drop("__one")
     cm = ["tn", "fp", "fn", "tp"]
@@ -252,19 +274,18 @@ def confusion_grid(cm: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
 def moving_average(df: DataFrame, order: str, value: str, window: int = 20, tiebreak: str | None = None, out: str = "moving_avg") -> DataFrame:
     """Mean of the last ``window`` values in ``order``; null until ``window`` rows exist.
 
-    Distributed: each row is sent to the ``window`` positions whose average it
-    belongs to (an equi-join on exact row numbers), never one ordered task.
+    Rows are cut into blocks by their global position; a block also gets the ``window - 1`` rows
+    before it, so each row is copied at most once and an ordinary window does the rest.
     """
-    ranked = global_row_number(df, order, tiebreak, out="__i")
-    spread = ranked.select(
-        F.explode(F.sequence(F.col("__i"), F.col("__i") + F.lit(window - 1))).alias("__i"),
-        F.col(value).cast("double").alias("__v"),
-    )
-    agg = spread.groupBy("__i").agg(F.sum("__v").alias("__s"), F.count(F.lit(1)).alias("__n"))
-    j = ranked.join(agg, "__i", "left")
-    return j.withColumn(
-        out, F.when(F.col("__i") >= window, F.col("__s") / F.lit(float(window)))
-    ).drop("__s", "__n").withColumnRenamed("__i", "position")
+    block = max(10_000, 20 * window)
+    ranked = global_row_number(df, order, tiebreak, out="__i").withColumn("__v", F.col(value).cast("double"))
+    own = F.floor((F.col("__i") - 1) / block)
+    late = (F.col("__i") - 1) % block >= block - (window - 1)
+    blocks = F.when(late, F.array(own, own + 1)).otherwise(F.array(own))
+    spread = ranked.select("*", F.posexplode(blocks).alias("__copy", "__block"))
+    w = Window.partitionBy("__block").orderBy("__i").rowsBetween(-(window - 1), 0)
+    mean = F.when(F.col("__i") >= window, F.sum("__v").over(w) / F.lit(float(window)))
+    return spread.withColumn(out, mean).where("__copy = 0").drop("__copy", "__block", "__v").withColumnRenamed("__i", "position")
 
 
 def metric_unpivot(metrics: DataFrame, id_cols: Sequence[str], names: Sequence[str] = COMPARISON_METRICS) -> DataFrame:

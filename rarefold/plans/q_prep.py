@@ -48,16 +48,19 @@ def dirty(spark, d):
 DIRTY_ROLES = Roles(target="y", id="event_id", time="ts")
 
 # ---------------------------------------------------------------- join
-_SQL_OC = """select o.o_custkey as custkey, o.o_orderkey, o.o_orderstatus, round(o.o_totalprice, 6) as o_totalprice,
+# every fifth customer key is turned into one that no customer has, on both sides of the check
+_SQL_OC = """select case when o.o_custkey % 5 = 0 then -o.o_custkey else o.o_custkey end as custkey, o.o_orderkey, o.o_orderstatus, round(o.o_totalprice, 6) as o_totalprice,
   o.o_orderpriority, c.c_name, c.c_nationkey, round(c.c_acctbal, 6) as c_acctbal, c.c_mktsegment
-from orders o left join (select * from customer where c_mktsegment <> 'BUILDING') c on o.o_custkey = c.c_custkey"""
+from orders o left join customer c
+  on case when o.o_custkey % 5 = 0 then -o.o_custkey else o.o_custkey end = c.c_custkey"""
 
 
 def orders_customers(spark, d):
+    key = F.when(F.col("o_custkey") % 5 == 0, -F.col("o_custkey")).otherwise(F.col("o_custkey"))
     o = table(spark, d, "orders").select(
-        F.col("o_custkey").alias("custkey"), "o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority"
+        key.alias("custkey"), "o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority"
     )
-    c = table(spark, d, "customer").where(F.col("c_mktsegment") != "BUILDING").select(
+    c = table(spark, d, "customer").select(
         F.col("c_custkey").alias("custkey"), "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"
     )
     return left_join(o, c, "custkey")

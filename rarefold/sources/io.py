@@ -18,7 +18,10 @@ from rarefold.operators.join import left_join
 log = logging.getLogger(__name__)
 
 # Tokens read as missing in CSV input (fixed values, as pandas' reader treats them)
-NA_TOKENS = ("", "NA", "N/A", "NaN", "nan", "NULL", "null", "None", "#N/A", "<NA>", "-NaN", "-nan", "n/a")
+NA_TOKENS = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+)
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -30,23 +33,57 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def normalise_missing(df: DataFrame) -> DataFrame:
-    """String NA tokens -> null; NaN in floating columns -> null."""
+    """String NA tokens (whole cells, blanks count) -> null; NaN in floating columns -> null."""
     cols = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, T.StringType):
-            c = F.when(F.trim(c).isin(*NA_TOKENS), F.lit(None).cast("string")).otherwise(c)
+            c = F.when(c.isin(*NA_TOKENS), F.lit(None).cast("string")).otherwise(c)
         elif isinstance(f.dataType, (T.DoubleType, T.FloatType)):
             c = F.nanvl(c, F.lit(None).cast(f.dataType))
         cols.append(c.alias(f.name))
     return df.select(*cols)
 
 
+def _inferred(df: DataFrame) -> DataFrame:
+    """String columns as the narrowest of long, double, boolean that takes all their non-null cells, in one pass.
+
+    A column without any value is a double, as in the reader that the tokens come from.
+    """
+    names = df.columns
+    q = [F.col(f"`{n}`") for n in names]
+    checks = []
+    for i, c in enumerate(q):
+        plain = F.trim(c)
+        checks += [
+            F.count(c).alias(f"n{i}"),
+            F.count(F.when(plain.rlike(r"^[+-]?[0-9]+$"), plain.try_cast("bigint"))).alias(f"l{i}"),
+            F.count(F.when(plain.rlike(r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$|^[+-]?(?i:inf|infinity)$"), plain)).alias(f"d{i}"),
+            F.count(F.when(c.isin("True", "TRUE", "true", "False", "FALSE", "false"), c)).alias(f"b{i}"),
+        ]
+    r = df.agg(*checks).first()
+    out = []
+    for i, (name, c) in enumerate(zip(names, q, strict=True)):
+        n = r[f"n{i}"]
+        plain = F.trim(c)
+        if n and r[f"l{i}"] == n:
+            c = plain.cast("bigint")
+        elif r[f"d{i}"] == n:
+            c = plain.cast("double")
+        elif r[f"b{i}"] == n:
+            c = F.lower(c) == "true"
+        out.append(c.alias(name))
+    return df.select(*out)
+
+
 def read_csv_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """Header CSV; an explicit schema when known, else inferred; NA tokens -> null."""
-    r = spark.read.option("header", True).option("mode", "PERMISSIVE")
-    r = r.schema(schema) if schema is not None else r.option("inferSchema", True)
-    return normalise_missing(r.csv(path))
+    """Header CSV. NA tokens become null before types are given: to the types of ``schema`` when known (a cell
+    that does not parse is null), else to inferred ones."""
+    text = normalise_missing(spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path))
+    if schema is None:
+        return _inferred(text)
+    fields = schema.fields if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema).fields
+    return text.select(*[F.trim(F.col(f"`{f.name}`")).try_cast(f.dataType).alias(f.name) if not isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`") for f in fields])
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:

@@ -69,3 +69,37 @@ def test_exact_median_matches_numpy(spark):
     got = exact_quantiles(df, ["a", "b"], 0.5, n_buckets=16)
     assert got["a"] == pytest.approx(np.median(a))
     assert got["b"] == pytest.approx(np.median(b))
+
+
+@pytest.mark.parametrize("ranges", [2, 8, 200])
+@pytest.mark.parametrize("descending", [False, True])
+def test_nulls_and_hot_values_at_any_width(spark, ranges, descending):
+    rows = [(i, None if i % 5 == 0 else 3.0 if i % 3 == 0 else float("nan") if i % 7 == 0 else float(i % 40)) for i in range(210)]
+    df = spark.createDataFrame(rows, "id long, s double")
+    clean = {i: None if s is None or s != s else s for i, s in rows}
+    rank = lambda s: (s is not None, s or 0.0)  # noqa: E731  nulls first ascending, last descending
+    first = (lambda a, b: rank(a) >= rank(b)) if descending else (lambda a, b: rank(a) <= rank(b))
+    got = {r.id: r.c for r in running_totals(df, "s", {"c": F.lit(1)}, descending=descending, n_buckets=ranges).collect()}
+    assert got == {i: sum(first(t, s) for t in clean.values()) for i, s in clean.items()}
+    numbered = {r.id: r.rn for r in global_row_number(df, "s", "id", descending=descending, n_buckets=ranges).collect()}
+    order = sorted(clean, key=lambda i: i)
+    order.sort(key=lambda i: rank(clean[i]), reverse=descending)
+    assert numbered == {i: k + 1 for k, i in enumerate(order)}
+
+
+def test_order_and_ties_of_any_type(spark):
+    big = 2**53
+    rows = [(f"k{i % 50:03d}-{i}", big + i % 3) for i in range(600)]
+    df = spark.createDataFrame(rows, "id string, t long")
+    got = {r.id: r.rn for r in global_row_number(df, "t", "id", n_buckets=8).collect()}
+    assert got == {r[0]: k + 1 for k, r in enumerate(sorted(rows, key=lambda r: (r[1], r[0])))}
+    peers = {r.t: r.c for r in running_totals(df, "t", {"c": F.lit(1)}).select("t", "c").distinct().collect()}
+    assert peers == {big: 200, big + 1: 400, big + 2: 600}
+    lab = S.assign_time_split(df, "t", 0.5, 0.25, tiebreak="id").groupBy("split").count().collect()
+    assert {r.split: r["count"] for r in lab} == {"train": 300, "val": 150, "test": 150}
+
+
+def test_groups_with_a_null_name(spark):
+    df = spark.createDataFrame([(g, i) for g in (None, "a") for i in range(30)], "g string, x long")
+    got = {(r.g, r.x): r.rn for r in global_row_number(df, "x", partition_by=["g"], n_buckets=5).collect()}
+    assert got == {(g, i): i + 1 for g in (None, "a") for i in range(30)}
