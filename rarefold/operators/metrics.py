@@ -197,8 +197,8 @@ def metrics_report(metrics: DataFrame, name: Column | str = "model", fpr_targets
     nm = F.lit(name) if isinstance(name, str) and name not in metrics.columns else (F.col(name) if isinstance(name, str) else name)
     cm = (lambda c: F.col(f"confusion_matrix.{c}")) if "confusion_matrix" in metrics.columns else (lambda c: F.col(c))
     lines = [F.format_string("=== Evaluation: %s ===", nm)]
-    lines += [F.format_string("%12s: %.4f", F.lit(k), F.col(k)) for k in REPORT_KEYS]
-    lines += [F.format_string("%20s: %.4f", F.lit(fpr_key(t)), F.col(f"`{fpr_key(t)}`")) for t in fpr_targets]
+    lines += [F.format_string("  %12s: %.4f", F.lit(k), F.col(k)) for k in REPORT_KEYS]
+    lines += [F.format_string("  %20s: %.4f", F.lit(fpr_key(t)), F.col(f"`{fpr_key(t)}`")) for t in fpr_targets]
     lines.append(
         F.format_string("  confusion_matrix : TP=%d FP=%d FN=%d TN=%d", cm("tp"), cm("fp"), cm("fn"), cm("tn"))
     )

@@ -50,6 +50,19 @@ def _sqdist(num_cols: Sequence[str], vector_col: str | None, cat_cols: Sequence[
     return out
 
 
+def _complete(df: DataFrame, num_cols: Sequence[str], cat_cols: Sequence[str], vector_col: str | None) -> DataFrame:
+    """``df``, failing on a null or NaN feature: such a row has no distance, so it must be imputed first."""
+    bad = F.lit(False)
+    for c in num_cols:
+        bad = bad | F.col(c).isNull() | F.isnan(F.col(c).cast("double"))
+    for c in cat_cols:
+        bad = bad | F.col(c).isNull()
+    if vector_col:
+        bad = bad | F.col(vector_col).isNull() | F.exists(F.coalesce(F.col(vector_col), F.array().cast(df.schema[vector_col].dataType)), lambda x: x.isNull() | F.isnan(x.cast("double")))
+    checked = F.when(bad, F.raise_error(F.lit("nearest neighbours need complete rows: impute nulls and NaN first")).cast("boolean")).otherwise(F.lit(True))
+    return df.where(checked)
+
+
 def knn_within(
     df: DataFrame,
     id_col: str,
@@ -82,7 +95,7 @@ def knn_within(
     else:
         raise ValueError("k-NN needs numeric columns or a vector column")
     cols = [id_col, *num_cols, *cat_cols] + ([vector_col] if vector_col else [])
-    pts = df.select(*g, *cols, proj.alias("__s"))
+    pts = _complete(df, num_cols, cat_cols, vector_col).select(*g, *cols, proj.alias("__s"))
     ranked = global_row_number(pts, "__s", id_col, partition_by=g, out="__r")
     a_side = ranked.select(*g, *[F.col(c).alias(f"a_{c}") for c in cols], F.col("__s").alias("a_s"), F.col("__r").alias("a_r"))
     b_side = ranked.select(*g, *[F.col(c).alias(f"b_{c}") for c in cols], F.col("__s").alias("b_s"), F.col("__r").alias("b_r"))
@@ -154,12 +167,13 @@ def smote(
     spark = df.sparkSession
     cols = [*num_cols, *cat_cols]
     if n_new <= 0:
-        return spark.range(0).select(F.col("id").alias(out_id), *[F.lit(None).alias(c) for c in cols])
+        kinds = {c: "double" for c in num_cols} | {c: df.schema[c].dataType for c in cat_cols}
+        return spark.range(0).select(F.col("id").alias(out_id), *[F.lit(None).cast(kinds[c]).alias(c) for c in cols])
     if n_pos < k + 1:
         raise ValueError(f"SMOTE needs at least k + 1 = {k + 1} minority rows, got {n_pos}")
     # the minority slice feeds the k-NN, the row numbers and both joins: write it
     # once to the shared checkpoint folder instead of rescanning the input
-    minority = cut_lineage(df.where(F.col(target) == positive).select(id_col, *cols))
+    minority = cut_lineage(_complete(df.where(F.col(target) == positive), num_cols, cat_cols, None).select(id_col, *cols))
     pen = smotenc_penalty(minority, num_cols) if cat_cols else None
     nn = knn_within(minority, id_col, num_cols, cat_cols, k, penalty=pen)
     mins = global_row_number(minority, id_col, out="__rn")

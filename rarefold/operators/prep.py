@@ -17,11 +17,13 @@ import json
 import logging
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rarefold.functions.prefix import global_row_number
 from rarefold.functions.quantile import exact_quantiles
+from rarefold.session import staged
 
 log = logging.getLogger(__name__)
 
@@ -33,8 +35,8 @@ DEFAULT_MAX_CATEGORICAL_CARDINALITY = 100
 DEFAULT_NUMERIC_FILL = -999.0
 DEFAULT_CATEGORICAL_FILL = "missing"
 
-MAP_LIMIT = 50_000  # dictionary entries embedded as literals
-BROADCAST_ROWS = 2_000_000  # dictionary rows broadcast per column; beyond, a shuffle join
+MAP_LIMIT = 32  # dictionary entries of a column embedded as literals (a map literal is searched from end to end)
+BROADCAST_BYTES = 8 << 20  # a column's dictionary is broadcast up to here; beyond, Spark picks the join at run time
 
 
 @dataclass(frozen=True)
@@ -196,21 +198,11 @@ class Preparer:
             if self.categorical_strategy == "constant":
                 extra += [(c, self.categorical_fill) for c in categorical if has_null[c]]
             values = vc.select("feature", "value").unionByName(spark.createDataFrame(extra, "feature string, value string")).distinct()
-            # codes: string order per column (window per column over its distinct values)
-            categories = values.withColumn("code", (F.row_number().over(Window.partitionBy("feature").orderBy("value")) - 1).cast("int"))
-            crow = categories.groupBy("feature").count().collect()
-            cards = {x["feature"]: x["count"] for x in crow}
-            if sum(cards.values()) <= MAP_LIMIT:
-                rows = categories.collect()
-                small_dicts = {c: {} for c in categorical}
-                for x in rows:
-                    small_dicts[x["feature"]][x["value"]] = x["code"]
-                categories = spark.createDataFrame([(x["feature"], x["value"], x["code"]) for x in rows], "feature string, value string, code int")
-            else:
-                small_dicts = None
-                from rarefold.session import cut_lineage
-
-                categories = cut_lineage(categories)
+            # codes: string order per column, by range-partitioned running counts
+            numbered = global_row_number(values, "value", partition_by=["feature"], out="code")
+            categories = staged(numbered.select("feature", "value", (F.col("code") - 1).cast("int").alias("code")), "categories")
+            sizes, small_dicts = _dictionary_sizes(categories)
+            cards = {f: n for f, (n, _) in sizes.items()}
         return PreparedFeatures(
             spark=spark,
             params=dict(
@@ -231,9 +223,21 @@ class Preparer:
             cardinality=cards,
             categories=categories,
             small_dicts=small_dicts,
+            dictionary_bytes={f: b for f, (_, b) in sizes.items()} if categorical else {},
         )
 
 
+def _dictionary_sizes(categories: DataFrame) -> tuple[dict[str, tuple[int, int]], dict[str, dict[str, int]]]:
+    """(rows, bytes) of each column's dictionary, and the entries of those small enough to be literals."""
+    rows = categories.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("value") + 16).alias("b")).collect()
+    sizes = {r["feature"]: (r["n"], r["b"]) for r in rows}
+    small = [f for f, (n, _) in sizes.items() if n <= MAP_LIMIT]
+    dicts: dict[str, dict[str, int]] = {f: {} for f in small}
+    for x in categories.where(F.col("feature").isin(small)).collect() if small else []:  # MAP_LIMIT rows a column at most
+        dicts[x["feature"]][x["value"]] = x["code"]
+    return sizes, dicts
+
+
 @dataclass
 class PreparedFeatures:
     spark: SparkSession
@@ -248,7 +252,8 @@ class PreparedFeatures:
     modes: dict[str, str]
     cardinality: dict[str, int]
     categories: DataFrame
-    small_dicts: dict[str, dict[str, int]] | None = field(default=None)
+    small_dicts: dict[str, dict[str, int]] = field(default_factory=dict)
+    dictionary_bytes: dict[str, int] = field(default_factory=dict)
 
     # -------------------------------------------------------------- tables
     @property
@@ -290,7 +295,7 @@ class PreparedFeatures:
         return F.coalesce(canonical_string(F.col(f"`{c}`"), dt), F.lit(self.modes[c]))
 
     def _unknown_code(self, c: str) -> int:
-        if self.small_dicts is not None:
+        if c in self.small_dicts:
             return self.small_dicts[c][UNKNOWN]
         return self.categories.where((F.col("feature") == c) & (F.col("value") == UNKNOWN)).first()["code"]
 
@@ -300,13 +305,13 @@ class PreparedFeatures:
         for c in self.categorical:
             v = self._cat_value(out, c)
             unk = self._unknown_code(c)
-            if self.small_dicts is not None:
+            if c in self.small_dicts:
                 d = self.small_dicts[c]
                 m = F.create_map(*[x for k, code in sorted(d.items()) for x in (F.lit(k), F.lit(code))])
                 out = out.withColumn(f"__code_{c}", F.coalesce(F.try_element_at(m, v), F.lit(unk)).cast("int"))
             else:
                 dic = self.categories.where(F.col("feature") == c).select(F.col("value").alias(f"__v_{c}"), F.col("code").alias(f"__code_{c}"))
-                if self.cardinality[c] <= BROADCAST_ROWS:
+                if self.dictionary_bytes.get(c, BROADCAST_BYTES + 1) <= BROADCAST_BYTES:
                     dic = F.broadcast(dic)
                 out = out.withColumn(f"__v_{c}", v).join(dic, f"__v_{c}", "left").drop(f"__v_{c}")
                 out = out.withColumn(f"__code_{c}", F.coalesce(F.col(f"__code_{c}"), F.lit(unk)))
@@ -340,13 +345,13 @@ class PreparedFeatures:
         """code column -> category string for each categorical column (F10 back half)."""
         out = df
         for c, code_col in code_cols.items():
-            if self.small_dicts is not None:
+            if c in self.small_dicts:
                 inv = {code: k for k, code in self.small_dicts[c].items()}
                 m = F.create_map(*[x for code, k in sorted(inv.items()) for x in (F.lit(code), F.lit(k))])
                 out = out.withColumn(c, F.try_element_at(m, F.col(code_col)))
             else:
                 dic = self.categories.where(F.col("feature") == c).select(F.col("code").alias(code_col), F.col("value").alias(c))
-                if self.cardinality[c] <= BROADCAST_ROWS:
+                if self.dictionary_bytes.get(c, BROADCAST_BYTES + 1) <= BROADCAST_BYTES:
                     dic = F.broadcast(dic)
                 out = out.join(dic, code_col, "left")
         return out
@@ -384,11 +389,7 @@ class PreparedFeatures:
         ns = {r["feature"]: r for r in spark.read.parquet(p + "/numeric_stats").collect()}
         cats = spark.read.parquet(p + "/categories")
         cards = {k: int(v) for k, v in meta["cardinality"].items()}
-        small = None
-        if sum(cards.values()) <= MAP_LIMIT:
-            small = {c: {} for c in meta["categorical"]}
-            for x in cats.collect():
-                small[x["feature"]][x["value"]] = x["code"]
+        sizes, small = _dictionary_sizes(cats)
         params = {k: meta[k] for k in ("roles", "numeric_strategy", "categorical_strategy", "numeric_fill", "categorical_fill")}
         return PreparedFeatures(
             spark=spark,
@@ -404,4 +405,5 @@ class PreparedFeatures:
             cardinality=cards,
             categories=cats,
             small_dicts=small,
+            dictionary_bytes={f: b for f, (_, b) in sizes.items()},
         )

@@ -3,13 +3,13 @@
 * G2/G3: per class, ``GaussianMixture`` on the standardised numeric vector and
   per (class, component, column) category frequencies from hard assignments.
 * G4/G6/G7: rows drawn from ``spark.range`` with portable hashes: component by
-  Gumbel-max over the weights, numeric = mean + Cholesky * normal noise,
-  categories by Gumbel-max over the component's frequencies.
+  Gumbel-max over the few weights, numeric = mean + Cholesky * normal noise,
+  categories by inverse-CDF draws joined on a guide table of the component's counts.
 * G8: a column-independent baseline (inverse empirical CDF per numeric column).
 * G9/G10: realism as a real-vs-synthetic classifier margin; a joint PCA.
 
-The fitted parameters are per-component sized (means, covariances, category
-frequencies) and are embedded in the projection as literals.
+Means and covariances are per-component sized and are embedded in the projection
+as literals; category counts stay tables.
 """
 
 from __future__ import annotations
@@ -25,10 +25,11 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rarefold.functions.prefix import global_row_number
-from rarefold.functions.rng import TWO48, normal, uniform
+from rarefold.functions.prefix import global_row_number, null_safe_join, running_totals
+from rarefold.functions.rng import TWO48, uniform
 from rarefold.operators.join import stack_with_origin
 from rarefold.operators.oversample import SYNTHETIC_FLAG
+from rarefold.session import staged
 
 # Reference sampling settings (fixed values)
 TARGET_CLASS = 1
@@ -66,7 +67,7 @@ def _normal_key(seed, salt: str, *parts: Column) -> Column:
 
 
 def gumbel_choice(values: Sequence, probs: Sequence[float], seed, salt: str, row: Column) -> Column:
-    """One value drawn with its probability (Gumbel-max: argmax ln p - ln(-ln u))."""
+    """One of a few values drawn with its probability (Gumbel-max: argmax ln p - ln(-ln u)); for many see ``draw_categories``."""
     vals = F.array(*[F.lit(v) for v in values])
     scores = F.array(
         *[
@@ -77,40 +78,61 @@ def gumbel_choice(values: Sequence, probs: Sequence[float], seed, salt: str, row
     return F.element_at(vals, F.array_position(scores, F.array_max(scores)).cast("int"))
 
 
-def _gumbel_by_component(tables: list[tuple[list, list[float]]], comp: Column, seed, salt: str, row: Column) -> Column:
-    out = None
-    for c, (vals, probs) in enumerate(tables):
-        pick = gumbel_choice(vals, probs, seed, salt, row)
-        out = F.when(comp == c, pick) if out is None else out.when(comp == c, pick)
-    return out
-
-
-def category_frequencies(df: DataFrame, cat_cols: Sequence[str], group_cols: Sequence[str] = ()) -> DataFrame:
-    """(group..., feature, value, p): category shares per group, one pass (long form)."""
+def category_counts(df: DataFrame, cat_cols: Sequence[str], group_cols: Sequence[str] = ()) -> DataFrame:
+    """(group..., feature, value, n): category counts per group, one pass (long form)."""
     long = df.select(*group_cols, F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("value")) for c in cat_cols])).alias("r"))
-    vc = long.select(*group_cols, "r.feature", "r.value").groupBy(*group_cols, "feature", "value").count()
-    tot = vc.groupBy(*group_cols, "feature").agg(F.sum("count").alias("__t"))
-    return vc.join(tot, [*group_cols, "feature"]).select(*group_cols, "feature", "value", (F.col("count") / F.col("__t")).alias("p"))
+    return long.select(*group_cols, "r.feature", "r.value").groupBy(*group_cols, "feature", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def draw_table(counts: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
+    """Guide table of inverse-CDF draws: (group..., feature, cell, value, lo, hi, total, cells).
+
+    Per group and feature, categories in value order own the integers lo .. hi - 1 of 0 .. total - 1, cut into as many equal
+    cells as there are categories; a category is listed in each cell it touches, so there are at most two rows a category.
+    """
+    g = [*group_cols, "feature"]
+    cum = running_totals(counts, "value", {"hi": F.col("n")}, partition_by=g, unique=True)
+    sizes = counts.groupBy(*g).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("cells"))
+    t = null_safe_join(cum, sizes, g).withColumn("lo", F.col("hi") - F.col("n"))
+    cell = lambda i: F.floor(i * F.col("cells") / F.col("total")).cast("long")
+    return t.select(*g, "value", "lo", "hi", "total", "cells", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi") - 1))).alias("cell"))
+
+
+def draw_categories(rows: DataFrame, table: DataFrame, feature: str, u: Column, group_cols: Sequence[str] = ()) -> DataFrame:
+    """``rows`` plus column ``feature``: the category at integer floor(u * total) of its group. One join, by cell."""
+    names = {c: f"__{c}" for c in ("cell", "lo", "hi", "total", "cells")} | {"value": feature}
+    t = table.where(F.col("feature") == feature).select(*group_cols, *[F.col(c).alias(n) for c, n in names.items()])
+    sizes = t.select(*group_cols, "__total", "__cells").distinct()
+    if group_cols:
+        sized = rows.join(F.broadcast(sizes), list(group_cols))  # one row per group, as many as mixture components
+    else:
+        r = sizes.first()
+        sized = rows.withColumns({"__total": F.lit(r["__total"] if r else 1), "__cells": F.lit(r["__cells"] if r else 1)})
+    sized = sized.withColumn("__i", F.floor(u * F.col("__total")).cast("long"))
+    sized = sized.withColumn("__cell", F.floor(F.col("__i") * F.col("__cells") / F.col("__total")).cast("long")).drop("__total", "__cells")
+    hit = sized.join(t.drop("__total", "__cells"), [*group_cols, "__cell"]).where((F.col("__lo") <= F.col("__i")) & (F.col("__i") < F.col("__hi")))
+    return hit.drop("__lo", "__hi", "__cell", "__i")
 
 
 # ---------------------------------------------------------------- G8 marginal sampler
 def marginal_sample(minority: DataFrame, id_col: str, num_cols: Sequence[str], cat_cols: Sequence[str], n: int, seed: int = 42) -> DataFrame:
-    """N rows, columns independent. Numeric: the value at rank floor(u * n_c) of
-    the column's sorted non-null values (ties by id); categorical: Gumbel-max on
-    the minority shares."""
+    """N rows, columns independent. Numeric: the value at rank floor(u * n_c) of the column's sorted non-null values (ties
+    by id), all columns in one ranked long table; categorical: inverse-CDF draws on the minority counts."""
     spark = minority.sparkSession
     out = spark.range(n).withColumnRenamed("id", "synthetic_id")
-    for c in num_cols:
-        vals = minority.select(id_col, F.col(c).cast("double").alias("__v")).where(F.col("__v").isNotNull())
-        nc = vals.count()
-        ranked = global_row_number(vals, "__v", id_col, out="__r").select(F.col("__r").alias(f"__r_{c}"), F.col("__v").alias(c))
-        out = out.withColumn(f"__r_{c}", F.floor(uniform(seed, f"marginal-{c}", "synthetic_id") * F.lit(nc)).cast("long") + 1)
-        out = out.join(ranked, f"__r_{c}").drop(f"__r_{c}")
+    if num_cols:
+        cells = [F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in num_cols]
+        long = minority.select(F.col(id_col).alias("__id"), F.explode(F.array(*cells)).alias("r")).select("__id", "r.feature", "r.v").where(F.col("v").isNotNull())
+        ranked = global_row_number(long, "v", "__id", partition_by=["feature"], out="__r").select("feature", "__r", "v")
+        sizes = {r["feature"]: r["n"] for r in long.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a column
+        wanted = [F.struct(F.lit(c).alias("feature"), (F.floor(uniform(seed, f"marginal-{c}", "synthetic_id") * F.lit(sizes.get(c, 0))).cast("long") + 1).alias("__r")) for c in num_cols]
+        picks = out.select("synthetic_id", F.explode(F.array(*wanted)).alias("w")).select("synthetic_id", "w.feature", "w.__r")
+        values = picks.join(ranked, ["feature", "__r"]).groupBy("synthetic_id").agg(*[F.max(F.when(F.col("feature") == c, F.col("v"))).alias(c) for c in num_cols])
+        out = out.join(values, "synthetic_id")
     if cat_cols:
-        freq = {(r["feature"], r["value"]): r["p"] for r in category_frequencies(minority, cat_cols).collect()}
+        table = draw_table(category_counts(minority, cat_cols))
         for c in cat_cols:
-            items = sorted((v, p) for (f, v), p in freq.items() if f == c)
-            out = out.withColumn(c, gumbel_choice([v for v, _ in items], [p for _, p in items], seed, f"marginal-{c}", F.col("synthetic_id")))
+            out = draw_categories(out, table, c, uniform(seed, f"marginal-{c}", "synthetic_id"))
     return out
 
 
@@ -124,7 +146,7 @@ class MixtureSampler:
     weights: dict[int, list[float]]  # class -> component weights
     mus: dict[int, list[list[float]]]
     chols: dict[int, list[list[list[float]]]]
-    cats: dict[int, dict[str, list[tuple[list, list[float]]]]]  # class -> column -> per component (values, probs)
+    cats: dict[int, DataFrame]  # class -> draw table by component, written to the shared folder
     trace: list[tuple]
 
     def history(self, spark) -> DataFrame:
@@ -147,9 +169,10 @@ class MixtureSampler:
                 lij = F.element_at(F.array(*[F.lit(float(L[i][j])) for L in self.chols[target_class]]), F.col("__comp") + 1)
                 x = x + lij * zs[j]
             cols.append((x * F.lit(float(self.stds[c])) + F.lit(float(self.means[c]))).alias(c))
+        out = rows.select("synthetic_id", "__comp", *cols)
         for c in self.cat_cols:
-            cols.append(_gumbel_by_component(self.cats[target_class][c], F.col("__comp"), seed, f"cat-{c}", F.col("synthetic_id")).alias(c))
-        return rows.select("synthetic_id", *cols, F.lit(target_class).alias(target), F.lit(True).alias(SYNTHETIC_FLAG))
+            out = draw_categories(out, self.cats[target_class], c, uniform(seed, f"cat-{c}", "synthetic_id"), ["__comp"])
+        return out.select("synthetic_id", *self.num_cols, *self.cat_cols, F.lit(target_class).alias(target), F.lit(True).alias(SYNTHETIC_FLAG))
 
 
 def fit_mixture(train: DataFrame, target: str, num_cols: Sequence[str], cat_cols: Sequence[str] = (), k: int = 3, seed: int = 42, max_iter: int = 100, ridge: float = 1e-6) -> MixtureSampler:
@@ -186,18 +209,15 @@ def fit_mixture(train: DataFrame, target: str, num_cols: Sequence[str], cat_cols
             ch.append(L.tolist())
         chols[cls] = ch
         trace.append((int(cls), kk, float(m.summary.logLikelihood), int(m.summary.numIter)))
-        cats[cls] = {}
         if cat_cols:
-            assigned = m.transform(part).select("__comp", *cat_cols)
-            fr = category_frequencies(assigned, cat_cols, ["__comp"]).collect()
-            for c in cat_cols:
-                per = []
-                for comp in range(kk):
-                    items = sorted((r["value"], r["p"]) for r in fr if r["feature"] == c and r["__comp"] == comp)
-                    if not items:  # empty component: fall back to the class shares
-                        items = sorted((r["value"], r["p"]) for r in fr if r["feature"] == c)
-                    per.append(([v for v, _ in items], [p for _, p in items]))
-                cats[cls][c] = per
+            counts = category_counts(m.transform(part), cat_cols, ["__comp"])
+            # a component that no row is assigned to draws from the whole class
+            used = {r["__comp"] for r in counts.select("__comp").distinct().collect()}
+            spare = [i for i in range(kk) if i not in used]
+            if spare:
+                whole = category_counts(part, cat_cols).withColumn("__comp", F.explode(F.array(*[F.lit(i) for i in spare])))
+                counts = counts.unionByName(whole.select(*counts.columns))
+            cats[cls] = staged(draw_table(counts, ["__comp"]), "draws")
     return MixtureSampler(num_cols, cat_cols, means, stds, weights, mus, chols, cats, trace)
 
 

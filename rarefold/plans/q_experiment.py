@@ -7,7 +7,6 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from rarefold.functions.rng import sql_uniform
 from rarefold.operators import experiment as E
 from rarefold.operators import select as R
 from rarefold.operators.model import train_fast_classifier
@@ -21,17 +20,23 @@ from rarefold.session import scratch_path
 
 SEED, B = 42, 1000
 
-_BOOT_SQL = f"""with sc as ({SQL_SCORED}),
-r as (select event_id, y, s, row_number() over (order by event_id) as rn, count(*) over () as n from sc),
-nn as (select max(n) as n from r),
-d as (select b, floor({sql_uniform(SEED, 'boot', 'b', 'j')} * n)::bigint + 1 as rn
-      from nn, lateral (select unnest(range({B})) as b), lateral (select unnest(range(n)) as j)),
-w as (select b, rn, count(*) as w from d group by b, rn),
-x as (select w.b, r.y, r.s, w.w from w join r using (rn)),
+_BOOT = f"""sc as ({SQL_SCORED}),
+r as (select y, s, ('0x' || substr(md5('{SEED}|boot|' || cast(event_id as varchar)), 1, 12))::bigint % 2147483647 as h from sc),
+x as (select b, y, s, {E.sql_weight('h', 'b')} as w from r, (select unnest(range({B})) as b)),
 g as (select b, s, sum(y * w) as pos, sum(w) as cnt from x group by b, s),
-c as (select b, pos, sum(pos) over (partition by b order by s desc) as cum_pos, sum(cnt) over (partition by b order by s desc) as cum_cnt from g),
-m as (select b, sum(pos * (cum_pos / cum_cnt)) / sum(pos) as ap from c group by b)
-select round(avg(ap), 6) as mean, round(quantile_cont(ap, 0.025), 6) as lower, round(quantile_cont(ap, 0.975), 6) as upper from m"""
+c as (select b, s, pos, cnt, sum(pos) over w1 as cum_pos, sum(cnt) over w1 as cum_cnt, sum(pos) over (partition by b) as P, sum(cnt - pos) over (partition by b) as N
+      from g window w1 as (partition by b order by s desc)),
+m as (select b, sum(case when cum_cnt > 0 then pos * (cum_pos / cum_cnt) end) / max(P) as ap,
+        coalesce(max(case when cum_cnt - cum_pos <= 0.05 * N then cum_pos end), 0) / max(P) as rec from c group by b)"""
+_BOOT_SQL = f"with {_BOOT} select round(avg(ap), 6) as mean, round(quantile_cont(ap, 0.025), 6) as lower, round(quantile_cont(ap, 0.975), 6) as upper from m"
+
+
+@register(
+    "bootstrap_recall",
+    f"with {_BOOT} select round(avg(rec), 6) as mean, round(quantile_cont(rec, 0.025), 6) as lower, round(quantile_cont(rec, 0.975), 6) as upper from m",
+)
+def q_bootstrap_recall(spark, d):
+    return rounded(E.bootstrap_ci(scored_events(spark, d), "y", "s", "event_id", "recall_at_fpr_5e-02", B, 0.95, SEED))
 
 
 @register("bootstrap_ci", _BOOT_SQL)

@@ -133,8 +133,8 @@ def q_metric_row_by_group(spark, d):
 
 _REPORT_LINES = (
     ["'=== Evaluation: ' || 'grp_' || grp || ' ==='"]
-    + [f"printf('%12s: %.4f', '{k}', {k})" for k in M.REPORT_KEYS]
-    + [f"printf('%20s: %.4f', '{M.fpr_key(t)}', \"{M.fpr_key(t)}\")" for t in M.DEFAULT_FPR_TARGETS]
+    + [f"printf('  %12s: %.4f', '{k}', {k})" for k in M.REPORT_KEYS]
+    + [f"printf('  %20s: %.4f', '{M.fpr_key(t)}', \"{M.fpr_key(t)}\")" for t in M.DEFAULT_FPR_TARGETS]
     + ["printf('  confusion_matrix : TP=%d FP=%d FN=%d TN=%d', tp, fp, fn, tn)"]
 )
 _REPORT_SQL = f"""

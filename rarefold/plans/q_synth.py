@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rarefold.functions.rng import sql_normal, sql_uniform
+from rarefold.functions.rng import sql_normal, sql_uniform, uniform
 from rarefold.operators import metrics as M
 from rarefold.operators import synth as G
 from rarefold.plans.q_oversample import SQL_SM, smote_input
@@ -39,37 +39,26 @@ def q_latent_noise(spark, d):
     return rounded(z.select("id", F.posexplode("noise").alias("position", "z")).withColumn("position", F.col("position").cast("long")))
 
 
-def _gumbel_sql(salt: str, row: str) -> str:
-    u = f"(('0x' || substr(md5('{SEED}|{salt}|' || cast({row} as varchar) || '|' || cast(i as varchar)), 1, 12))::bigint / 281474976710656.0)"
-    return f"ln(p) - ln(-ln({u} + 1e-300))"
-
-
 _SHARES = f"""m as (select * from ({SQL_SM}) where y = 1),
-sh as (select cast(c2 as varchar) as value, count(*) / (select count(*) from m)::double as p from m group by c2),
-shi as (select value, p, (row_number() over (order by value) - 1) as i from sh)"""
+sh as (select cast(c2 as varchar) as value, count(*) as k from m group by c2),
+shi as (select value, sum(k) over (order by value) - k as lo, sum(k) over (order by value) as hi, sum(k) over () as total from sh),
+n as (select {_POOL} as n from ({SQL_SM})),
+ids as (select unnest(range(n)) as j from n),
+gc as (select j, value as c2 from (select j, {sql_uniform(SEED, 'marginal-c2', 'j')} as u from ids) join shi on floor(u * total) >= lo and floor(u * total) < hi)"""
 
 
-@register(
-    "categorical_draw",
-    f"""with {_SHARES}, n as (select {_POOL} as n from ({SQL_SM})),
-g as (select j, value, {_gumbel_sql('marginal-c2', 'j')} as score from n, lateral (select unnest(range(n)) as j), shi)
-select j as synthetic_id, arg_max(value, score) as c2 from g group by j""",
-)
+@register("categorical_draw", f"with {_SHARES} select j as synthetic_id, c2 from gc")
 def q_categorical_draw(spark, d):
-    m = _minority(spark, d)
-    freq = sorted((r["value"], r["p"]) for r in G.category_frequencies(m, CAT).collect())
+    table = G.draw_table(G.category_counts(_minority(spark, d), CAT))
     rows = spark.range(_pool(spark, d)).withColumnRenamed("id", "synthetic_id")
-    return rows.select("synthetic_id", G.gumbel_choice([v for v, _ in freq], [p for _, p in freq], SEED, "marginal-c2", F.col("synthetic_id")).alias("c2"))
+    return G.draw_categories(rows, table, "c2", uniform(SEED, "marginal-c2", "synthetic_id")).select("synthetic_id", "c2")
 
 
 @register(
     "marginal_sample",
-    f"""with {_SHARES}, n as (select {_POOL} as n from ({SQL_SM})),
-ids as (select unnest(range(n)) as j from n),
+    f"""with {_SHARES},
 rv as (select value, row_number() over (order by value, event_id) as r, count(*) over () as c from m),
-ru as (select uid, row_number() over (order by uid, event_id) as r, count(*) over () as c from m),
-g as (select j, value, {_gumbel_sql('marginal-c2', 'j')} as score from ids, shi),
-gc as (select j, arg_max(value, score) as c2 from g group by j)
+ru as (select uid, row_number() over (order by uid, event_id) as r, count(*) over () as c from m)
 select ids.j as synthetic_id, round(rv.value, 6) as value, round(ru.uid, 6) as uid, gc.c2
 from ids
 join rv on rv.r = floor({sql_uniform(SEED, 'marginal-value', 'ids.j')} * rv.c) + 1

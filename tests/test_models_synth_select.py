@@ -112,3 +112,58 @@ def test_episodes_state_and_reward_rules(spark):
     assert all(r["reward"] == 0.0 and r["raw_score"] == 0.4 and r["n_selected"] == 0 for r in summ)
     all_kept = R.episode_summary(eps.withColumn("keep", F.lit(True)), raw, 0.4).collect()
     assert all(r["n_selected"] == 4 and r["reward"] == pytest.approx((0.9 - 0.4) / 0.4) for r in all_kept)
+
+
+def test_category_draws_follow_the_counts(spark):
+    from rarefold.functions.rng import uniform
+
+    # 500 categories of falling frequency: each integer of 0 .. total - 1 must meet its own category
+    counts = spark.createDataFrame([("c", f"v{i:03d}", 1 + (499 - i) // 50) for i in range(500)], "feature string, value string, n long")
+    total = sum(1 + (499 - i) // 50 for i in range(500))
+    rows = spark.range(total).select("id", "id", "id").toDF("id", "value", "cell")
+    got = G.draw_categories(rows, G.draw_table(counts), "c", (F.col("id") + 0.5) / total).groupBy("c").count().collect()
+    assert {r["c"]: r["count"] for r in got} == {f"v{i:03d}": 1 + (499 - i) // 50 for i in range(500)}
+    many = spark.range(200_000).withColumnRenamed("id", "k")
+    drawn = G.draw_categories(many, G.draw_table(counts), "c", uniform(1, "t", "k"))
+    assert drawn.count() == 200_000
+    top = drawn.where("c = 'v000'").count()
+    assert abs(top - 200_000 * 10 / total) < 5 * (200_000 * 10 / total) ** 0.5
+
+
+def test_incomplete_rows_are_refused(spark):
+    from rarefold.operators.oversample import knn_within, smote
+
+    rows = [(i, float(i), None if i == 3 else 1.0, int(i < 9)) for i in range(30)]
+    df = spark.createDataFrame(rows, "id long, x double, z double, y int")
+    for make in (lambda: knn_within(df, "id", ["x", "z"]), lambda: smote(df, "y", "id", ["x", "z"])):
+        with pytest.raises(Exception, match="impute"):
+            make().collect()
+    even = smote(df.where("id >= 9").withColumn("y", (F.col("id") % 2).cast("int")).where("id < 29"), "y", "id", ["x"])
+    assert dict(even.dtypes)["x"] == "double"
+
+
+def test_bootstrap_against_plain_resampling(spark):
+    import numpy as np
+
+    from rarefold.operators import experiment as E
+
+    rng = np.random.default_rng(4)
+    rows = [(i, int(rng.random() < 0.3), 0.4 if i % 3 == 0 else round(float(rng.random()), 2)) for i in range(240)]
+    df = spark.createDataFrame(rows, "id long, y int, s double")
+    hashes = np.array([int(__import__("hashlib").md5(f"7|boot|{i}".encode()).hexdigest()[:12], 16) % 2147483647 for i, _, _ in rows])
+    w = E._weights(hashes, np.arange(40))
+    assert abs(w.mean() - 1) < 0.05 and abs(w.var() - 1) < 0.1
+    got = {r.b: r for r in E.bootstrap_metrics(df, "y", "s", "id", 40, seed=7, fpr_targets=(0.1,)).collect()}
+    y, s = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    for b in range(40):
+        yy, ss = np.repeat(y, w[:, b]), np.repeat(s, w[:, b])
+        pos, neg = ss[yy == 1], ss[yy == 0]
+        cuts = sorted(set(ss), reverse=True)
+        tp = np.array([(pos >= c).sum() for c in cuts])
+        fp = np.array([(neg >= c).sum() for c in cuts])
+        assert got[b].auc_pr == pytest.approx((np.diff(tp, prepend=0) / len(pos) * tp / (tp + fp)).sum())
+        assert got[b].auc_roc == pytest.approx(((pos[:, None] > neg).sum() + 0.5 * (pos[:, None] == neg).sum()) / len(pos) / len(neg))
+        assert got[b]["recall_at_fpr_1e-01"] == pytest.approx(max([0, *tp[fp <= 0.1 * len(neg)]]) / len(pos))
+        assert got[b].precision == pytest.approx((pos >= 0.5).sum() / max(1, (ss >= 0.5).sum()))
+    r = E.bootstrap_ci(df, "y", "s", "id", lambda t: F.col("recall") - F.col("precision"), 40, seed=7).first()
+    assert r.lower <= r["mean"] <= r.upper
