@@ -8,6 +8,7 @@ until they fit in one block. Every block is one small group: no task holds more.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,31 +35,68 @@ class Packing:
 
 
 #: Word encodings that a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
+
+
+#: Lower-case letters whose lower-casing and normal form are themselves, and marks that end a word.
+_LETTERS = re.compile("[a-z\u00df-\u00f6\u00f8-\u024f]+").fullmatch
+_ENDINGS = ".,;:!?)"
 
 
 class WordEncoder(dict):
     """chunk between white space -> its ids as little-endian 32-bit bytes.
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of its
-    chunks in order; chunks repeat far more than texts do.
+    chunks in order; chunks repeat far more than texts do. A chunk of plain letters with closing marks is two of the tokenizer's
+    own pieces, letters in lower case and marks, which are remembered apart and go straight to its model.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.words: dict[str, bytes] = {}
+        # the letters that stand for bytes in the model's vocabulary
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {ord(c): level.pre_tokenize_str(c)[0][0] for c in map(chr, range(0x250)) if _LETTERS(c)}
+
+    def _word(self, word: str) -> bytes:
+        ids = self.words.get(word)
+        if ids is None:
+            ids = self.words[word] = np.array([t.id for t in self.model.tokenize(word.translate(self.letters))], "<u4").tobytes()
+        return ids
+
+    def _whole(self, chunks: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def _learn(self, new: set[str]) -> None:
+        other = []
+        for c in new:
+            word = c.rstrip(_ENDINGS)
+            low = word.lower()
+            if _LETTERS(low):
+                self[c] = self._word(low) + (self._marks(c[len(word) :]) if len(word) < len(c) else b"")
+            else:
+                other.append(c)
+        for at in range(0, len(other), 4096):
+            part = other[at : at + 4096]
+            self.update(zip(part, self._whole(part), strict=True))
+
+    def _marks(self, marks: str) -> bytes:
+        ids = self.words.get(marks)
+        if ids is None:
+            ids = self.words[marks] = self._whole([marks])[0]
+        return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         chunks = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         if len(self) > REMEMBERED:
             self.clear()
-        new = list({c for own in chunks for c in own if c not in self})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self[c] = np.array(e.ids, "<u4").tobytes()
+        if len(self.words) > REMEMBERED:
+            self.words.clear()
+        self._learn({c for own in chunks for c in own if c not in self})
         return [b"".join(map(self.__getitem__, own)) for own in chunks]
 
 
