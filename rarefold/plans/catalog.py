@@ -14,6 +14,7 @@ _MODULES = (
     "rarefold.plans.q_synth",
     "rarefold.plans.q_select",
     "rarefold.plans.q_experiment",
+    "rarefold.plans.q_contract",
 )
 
 

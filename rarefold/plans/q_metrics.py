@@ -92,6 +92,16 @@ from r, m
 """
 
 
+_NULL_SQL = _ROW_SQL.replace(_SC, f"sc as (select y, case when event_id % 9 = 0 then -1 else s end as s from ({SQL_SCORED}))", 1)
+
+
+@register("metric_row_null_scores", _NULL_SQL)
+def q_metric_row_null_scores(spark, d):
+    """Every ninth score is missing and ranks below all others."""
+    s = scored_events(spark, d).withColumn("s", F.when(F.col("event_id") % 9 != 0, F.col("s")))
+    return rounded(M.metric_row(s, "y", "s", 0.5, FPR, flat=True, nulls="lowest"))
+
+
 @register("metric_row", _ROW_SQL)
 def q_metric_row(spark, d):
     return rounded(M.metric_row(scored_events(spark, d), "y", "s", 0.5, FPR, flat=True))
