@@ -11,6 +11,7 @@ import logging
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark import SparkContext
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
@@ -84,6 +85,17 @@ def _gbt(target: str, p: dict, max_iter: int) -> GBTClassifier:
     )
 
 
+def _first_trees(model: GBTClassificationModel, n: int) -> GBTClassificationModel:
+    """The same boosted model with its first ``n`` trees only."""
+    java, sc = model._java_obj, SparkContext._active_spark_context
+    kinds = sc._jvm.org.apache.spark.ml
+    trees = sc._gateway.new_array(kinds.regression.DecisionTreeRegressionModel, n)
+    weights = sc._gateway.new_array(sc._jvm.double, n)
+    for i, (t, w) in enumerate(zip(java.trees()[:n], java.treeWeights()[:n])):
+        trees[i], weights[i] = t, w
+    return GBTClassificationModel(kinds.classification.GBTClassificationModel(java.uid(), trees, weights, java.numFeatures(), 2))
+
+
 def train_classifier(
     train: DataFrame,
     features: Sequence[str],
@@ -97,8 +109,7 @@ def train_classifier(
     With a validation frame and ``early_stopping_rounds``: fit ``max_iter``
     rounds, take the validation loss of every prefix (one distributed pass,
     ``evaluateEachIteration``), keep the best round unless it is not improved
-    on for ``early_stopping_rounds`` rounds, and refit that many rounds (the
-    same seed grows the same prefix of trees).
+    on for ``early_stopping_rounds`` rounds, and cut the fitted model after it.
     """
     p = dict(MAIN_PARAMS, **(params or {}))
     w = pos_weight(train, target, scale_pos_weight)
@@ -119,7 +130,7 @@ def train_classifier(
                     break
         best = best_i + 1
         if best < len(losses):
-            model = Pipeline(stages=[_assembler(features), _gbt(target, p, best)]).fit(data)
+            model = PipelineModel([model.stages[0], _first_trees(model.stages[-1], best)])
     return Classifier(model, list(features), target, best)
 
 

@@ -56,7 +56,8 @@ def assign_random_split(
 def assign_split(df: DataFrame, target: str, id_col: str | None, time: str | None, **kw) -> DataFrame:
     """Time column configured and present -> time split, else random (stratified) split."""
     if time and time in df.columns:
-        return assign_time_split(df, time, kw.get("train_ratio", 0.7), kw.get("val_ratio", 0.15), tiebreak=id_col)
+        ratios = {k: kw[k] for k in ("train_ratio", "val_ratio") if k in kw}
+        return assign_time_split(df, time, **ratios, tiebreak=id_col)
     if id_col is None:
         raise ValueError("a random split needs an id column for its portable hash")
     return assign_random_split(df, target, id_col, **kw)

@@ -12,6 +12,7 @@ from rarefold.operators.join import left_join
 from rarefold.operators.model import PROBA, train_classifier
 from rarefold.operators.prep import Preparer, Roles
 from rarefold.plans.tables import table
+from rarefold.session import staged
 
 ROLES = Roles(target="is_f", id="o_orderkey", time="o_orderdate", drop=("o_orderstatus", "custkey"))
 # flagship classifier configuration (kept small so the smoke run is quick)
@@ -29,10 +30,10 @@ def orders_with_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flagship(spark: SparkSession, sf_dir: str, params: dict | None = None) -> DataFrame:
     raw = orders_with_customers(spark, sf_dir)
-    lab = S.assign_time_split(raw, "o_orderdate", 0.7, 0.15, tiebreak="o_orderkey").persist()
-    train, val, test = S.split_frames(lab)
+    lab = S.assign_time_split(raw, "o_orderdate", 0.7, 0.15, tiebreak="o_orderkey")
+    train, val, test = S.split_frames(staged(lab, "split"))
     prep = Preparer(ROLES).fit(train)
-    tv, vv, sv = (prep.transform_for_classifier(x) for x in (train, val, test))
+    tv, vv, sv = (staged(prep.transform_for_classifier(x), "view") for x in (train, val, test))
     clf = train_classifier(tv, prep.features, ROLES.target, vv, params=dict(FLAGSHIP_PARAMS, **(params or {})))
     scored = clf.predict_proba(sv)
     return M.metric_row(scored, ROLES.target, PROBA, flat=True)

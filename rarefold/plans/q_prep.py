@@ -12,6 +12,7 @@ from rarefold.operators.prep import Preparer, Roles, infer_kinds
 from rarefold.operators.weight import pos_weight_frame
 from rarefold.plans.registry import register, rounded
 from rarefold.plans.tables import LABEL, SQL_TX, table, transactions
+from rarefold.session import staged
 
 SEED = 42
 TRAIN, VAL = 0.7, 0.15
@@ -287,7 +288,7 @@ def q_dictionary(spark, d):
 
 def _fitted_on_train(spark, d):
     lab = S.assign_time_split(dirty(spark, d), "ts", TRAIN, VAL, tiebreak="event_id")
-    train, _, _ = S.split_frames(lab)
+    train, _, _ = S.split_frames(staged(lab, "split"))
     return Preparer(DIRTY_ROLES).fit(train)
 
 
