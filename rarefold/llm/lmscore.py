@@ -261,3 +261,27 @@ def cross_entropy_difference(documents: DataFrame, target_ids: DataFrame, p: Cro
     empty = F.col("n_tokens") == 0
     loss = lambda c: F.when(~empty, F.round(c, 9)).alias(c)
     return rows.select("doc_id", "n_tokens", loss("target_loss"), loss("background_loss"), F.when(~empty, F.round(F.col("target_loss") - F.col("background_loss"), 9)).alias("score"))
+
+
+#: The scores for DuckDB, with the default parameters and the documents of good quality as target.
+SQL = r"""
+with texts as (select row_number() over () as r, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') as words from documents),
+tok as (select r, doc_id, unnest(words) as word, unnest(range(len(words))) as i from texts),
+target as (select distinct r from texts join labels using (doc_id) where quality = 1),
+voc as (select word, row_number() over (order by count(*) desc, word) + 1 as id from tok where r in (select r from target) group by word having count(*) >= 2
+  qualify row_number() over (order by count(*) desc, word) <= 50000),
+size as (select count(*) + 2 as v from voc),
+ids as (select r, i, coalesce(id, 0) as w from tok left join voc using (word)),
+pairs as (select r, w, coalesce(lag(w) over (partition by r order by i), 1) as v, r in (select r from target) as good from ids),
+one as (select w, count(*) as b, count(*) filter (where good) as t from pairs group by w),
+ctx as (select v, count(*) as b, count(*) filter (where good) as t from pairs group by v),
+two as (select v, w, count(*) as b, count(*) filter (where good) as t from pairs group by v, w),
+total as (select count(*) as b, count(*) filter (where good) as t from pairs),
+single as (select w, (one.t + 1) / (total.t + size.v) as t, (one.b + 1) / (total.b + size.v) as b from one, total, size),
+loss as (select v, w,
+    -ln(case when ctx.t > 0 then 0.7::double * (two.t / ctx.t) + 0.3::double * single.t else single.t end) as t,
+    -ln(case when ctx.b > 0 then 0.7::double * (two.b / ctx.b) + 0.3::double * single.b else single.b end) as b
+  from two join ctx using (v) join single using (w)),
+docs as (select r, count(*) as n, avg(t) as t, avg(b) as b from pairs join loss using (v, w) group by r)
+select doc_id, coalesce(n, 0) as n_tokens, round(t, 9) as target_loss, round(b, 9) as background_loss, round(t - b, 9) as score from texts left join docs using (r)
+"""

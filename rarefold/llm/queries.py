@@ -49,6 +49,9 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.cross_entropy_difference(table(spark, sf_dir, "documents"), good)
 
 
+ORACLES["op3_cross_entropy_difference"] = lmscore.SQL
+
+
 @query("op4_circulant_minhash")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("tkey", "comp")
