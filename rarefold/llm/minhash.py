@@ -304,3 +304,18 @@ def deduplicate(documents: DataFrame, p: NearDuplicates = NearDuplicates()) -> D
         return keyed.where(~maybe).unionByName(free.unionByName(single).drop("__stays"))
 
     return on_columns(documents, ("doc_id", "text"), step)
+
+
+#: Groups of documents for DuckDB, from all shingles that two documents share.
+SQL = r"""
+with recursive words as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+sets as (select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+  else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as s from words),
+sh as (select doc_id, len(s) as n, unnest(s) as g from sets),
+links as (select a.doc_id as x, b.doc_id as y from sh a join sh b on a.g = b.g and a.doc_id < b.doc_id
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+both_ways as (select x, y from links union all select y, x from links),
+reach(doc_id, root) as (select doc_id, doc_id from sets union select b.y, r.root from reach r join both_ways b on b.x = r.doc_id where r.root < b.y),
+least as (select doc_id, min(root) as component_id from reach group by doc_id)
+select doc_id, len(s)::bigint as n_shingles, component_id, doc_id = component_id as kept from sets join least using (doc_id)
+"""

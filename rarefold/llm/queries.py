@@ -57,6 +57,9 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("tkey", "comp")
 
 
+ORACLES["op4_circulant_minhash"] = minhash.SQL
+
+
 @query("op5_run_length_index")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digest(table(spark, sf_dir, "documents"))
