@@ -9,7 +9,6 @@ if its Mahalanobis distance passes a chi-square cut. DataFrame functions only.
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame

@@ -13,7 +13,6 @@ import hashlib
 import json
 import re
 import zlib
-from collections.abc import Iterator
 from functools import cache
 
 import ahocorasick

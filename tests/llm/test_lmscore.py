@@ -7,8 +7,6 @@ import pytest
 
 from rarefold.llm.lmscore import CrossEntropy, cross_entropy_difference
 
-from .conftest import prose
-
 
 def naive(rows, target, p):
     words = lambda t: re.findall(r"\w+", (t or "").lower())
