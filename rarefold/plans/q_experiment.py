@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import functions as F
 
 from rarefold.operators import experiment as E
 from rarefold.operators import select as R
 from rarefold.operators.model import train_fast_classifier
 from rarefold.operators.oversample import smote
-from rarefold.plans.q_metrics import _GCM, _GCURVE, _GROW_SQL, _grouped
+from rarefold.plans.q_metrics import _GROW_SQL, _grouped
 from rarefold.plans.q_select import reward_metric, selection_inputs
 from rarefold.plans.registry import register, rounded
 from rarefold.plans.tables import SQL_SCORED, scored_events
