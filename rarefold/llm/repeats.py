@@ -163,15 +163,15 @@ class RunIndex:
     def _common(text: np.ndarray, i: np.ndarray, j: np.ndarray, depth: int) -> np.ndarray:
         """Longest common prefixes of pairs of suffixes."""
         n, out = len(text), np.zeros(len(i), np.int64)
-        live = np.arange(len(i))
         at = np.arange(32)
-        while len(live):
-            a, b = i[live] + out[live], j[live] + out[live]
-            x, y = a[:, None] + at, b[:, None] + at
-            same = (text[np.minimum(x, n - 1)] == text[np.minimum(y, n - 1)]) & (x < n) & (y < n)
-            run = np.where(same.all(axis=1), 32, same.argmin(axis=1))
-            out[live] += run
-            live = live[(run == 32) & (out[live] < depth)]
+        for first in range(0, len(i), 1 << 14):  # a bounded number of pairs at a time
+            live = np.arange(first, min(len(i), first + (1 << 14)))
+            while len(live):
+                x, y = (i[live] + out[live])[:, None] + at, (j[live] + out[live])[:, None] + at
+                same = (text[np.minimum(x, n - 1)] == text[np.minimum(y, n - 1)]) & (x < n) & (y < n)
+                run = np.where(same.all(axis=1), 32, same.argmin(axis=1))
+                out[live] += run
+                live = live[(run == 32) & (out[live] < depth)]
         return out
 
     def matching_statistics(self) -> np.ndarray:
@@ -192,7 +192,7 @@ def repeated_starts(segments: list[bytes], p: LongRepeats) -> list[np.ndarray]:
     parts, at = [], []
     here = 0
     for i, s in enumerate(segments):
-        parts += [np.frombuffer(s, np.uint8).astype(np.int64), np.array([256 + i], np.int64)]
+        parts += [np.frombuffer(s, np.uint8).astype(np.int32), np.array([256 + i], np.int32)]
         at.append(here)
         here += len(s) + 1
     index = RunIndex(np.concatenate(parts), max(map(len, segments)) + 1)
