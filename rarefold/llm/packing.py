@@ -277,6 +277,8 @@ def place_pieces(sized: DataFrame, p: Packing) -> DataFrame:
     last = None
     for k in range(p.rounds):
         n = todo.count()
+        if n and n == last:  # no sequence was closed: the open ones stay as they are
+            done = done.unionByName(out.where(again).drop("free"))
         if not n or n == last:
             break
         last = n

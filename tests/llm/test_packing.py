@@ -76,3 +76,10 @@ def test_blocks_come_close_to_the_bound(spark, empty):
 def test_items_that_leave_no_choice(spark):
     assert len(set(pack(np.full(50, 60), 100).tolist())) == 50
     assert len(set(pack(np.array([100, 50, 50, 1]), 100).tolist())) == 3
+
+
+def test_equal_lengths_over_blocks_all_stay(spark, empty):
+    df = spark.createDataFrame([(i, "word " * 80, "en", "s", 0, 0) for i in range(500)], empty.schema)
+    got = pack_documents(df, PATH, Packing(capacity=128, block=200)).collect()
+    assert sorted(r.doc_id for r in got) == list(range(500))
+    assert gapless(got, 128) == 500
