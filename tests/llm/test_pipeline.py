@@ -92,3 +92,12 @@ def test_empty_tables(spark, folder, tmp_path):
     table(spark, folder, "documents").limit(0).write.parquet(f"{d}/documents.parquet")
     table(spark, folder, "benchmark").limit(0).write.parquet(f"{d}/benchmark.parquet")
     assert corpus_pipeline.run(spark, d).count() == 0
+
+
+def test_near_duplicates_link_from_080_on(spark):
+    rng, rows = random.Random(4), []
+    for i, (n, changed) in enumerate([(104, 10), (94, 10), (104, 12)] * 10):  # similarity 90/110, 80/100 and 88/112
+        words = prose(rng, n).split()
+        rows += [(2 * i, " ".join(words), "en", "s", 0, 0), (2 * i + 1, " ".join(words[:-changed] + prose(rng, changed).split()), "en", "s", 0, 0)]
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
+    assert sorted(r.doc_id for r in kept) == sorted(d for d, *_ in rows if d % 2 == 0 or d // 2 % 3 == 2)
