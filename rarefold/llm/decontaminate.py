@@ -1,8 +1,8 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Every test item keeps, from each stretch of its word n-grams, the one that is rarest in the
-training text. Documents that hold such seeds of an item near each other are aligned with it, word by word, so that
-passages with words changed, added or left out still score. Only occurrences of item
+Every word n-gram of a test item is a seed, whatever other copies of the item hold. Documents with one seed
+of an item are aligned with it, word by word, so that passages with words changed, added or left out still
+score; spans with too few of the item's words to reach the similarity are passed over. Only occurrences of item
 n-grams leave the scan of the documents; the scan's filter has a fixed size whatever the benchmark's.
 """
 
@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rarefold.llm.common import BitFilter, on_columns, staged, text_key, text_or_empty, texts_of, without_texts
@@ -27,8 +27,6 @@ _MULT = np.uint64(0x9E3779B97F4A7C15)
 @dataclass(frozen=True)
 class Decontamination:
     gram: int = 3
-    #: each run of so many consecutive n-grams of an item gives one seed
-    stretch: int = 3
     match: int = 2
     mismatch: int = -1
     gap: int = -1
@@ -106,7 +104,7 @@ def align(a: np.ndarray, b: np.ndarray, p: Decontamination) -> tuple[int, int, i
 
 
 def best_passage(item: np.ndarray, doc: np.ndarray, diagonals: list[int], p: Decontamination) -> tuple[int, int, int]:
-    """(score, first word, end word) of the passage that aligns best, near the diagonals its seeds lie on."""
+    """(score, first word, end word) of the passage that aligns best, near the diagonals its seeds lie on; score 0 if none can be a copy."""
     m, best = len(item), (0, 0, 0)
     slack = m // 2 + 4
     spans: list[list[int]] = []
@@ -118,6 +116,8 @@ def best_passage(item: np.ndarray, doc: np.ndarray, diagonals: list[int], p: Dec
             spans.append([lo, hi])
     for lo, hi in spans:
         part = doc[lo:hi]
+        if np.isin(item, part).sum() < p.similarity * m:  # each matched word is in the span: the score stays below
+            continue
         score, i, j = align(item, part, p)
         if score > best[0]:
             back = align(item[:i][::-1], part[:j][::-1], p)
@@ -130,20 +130,13 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, p: Decontamination
 
     Similarity is the alignment score over the item's best possible one. Words are runs of letters, digits and
     underscores in lower case; an item without one matches nothing, null texts count as empty. Equal texts are aligned
-    once. Frequencies count every row.
+    once. A copy in which no ``p.gram`` words of the item in a row are left has no seed and is not found.
     """
     items = benchmark.select(text_key("text").alias("ikey"), text_or_empty("text").alias("item_text")).dropDuplicates(["ikey"])
     grams = staged(_item_grams(items, p), "item-grams")
     hits = staged(_occurrences(documents, grams, p), "gram-hits")
-    often = hits.groupBy("gram").agg(F.count(F.lit(1)).alias("times"))
-    rarest = Window.partitionBy("ikey", F.floor(F.col("ipos") / p.stretch)).orderBy("times", "ipos")  # p.stretch rows at most
-    seeds = grams.join(often, "gram").withColumn("rank", F.row_number().over(rarest)).where("rank = 1").select("ikey", "gram", "ipos")
-    seeds = staged(seeds, "seeds")
-    # long items need two different seeds: one shared phrase alone is no copy
-    enough = grams.groupBy("ikey").agg(F.when(F.max("ipos") >= 3 * p.stretch, 2).otherwise(1).alias("least"))
-    near = hits.select("tkey", "gram", "pos").distinct().join(seeds, "gram")
-    pairs = near.groupBy("tkey", "ikey").agg(F.collect_set(F.col("pos") - F.col("ipos")).alias("diagonals"), F.count_distinct("ipos").alias("seeds"))
-    pairs = pairs.join(enough, "ikey").where(F.col("seeds") >= F.col("least")).join(items, "ikey")
+    near = hits.distinct().join(grams.select("ikey", "gram", "ipos"), "gram")
+    pairs = near.groupBy("tkey", "ikey").agg(F.collect_set(F.col("pos") - F.col("ipos")).alias("diagonals")).join(items, "ikey")
     wanted = staged(pairs.groupBy("tkey").agg(F.collect_list(F.struct("ikey", "item_text", "diagonals")).alias("items")), "candidates")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

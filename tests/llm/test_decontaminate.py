@@ -70,3 +70,19 @@ def test_short_items(spark, awkward):
     df = spark.createDataFrame([(1, "so Lone here", "", "", 0, 0), (2, "the two. Words", "", "", 0, 0), (3, "two lonely words", "", "", 0, 0), (4, "x a b q c d", "", "", 0, 0)], awkward.schema)
     got = {(r.doc_id, r.item_id) for r in D.contaminated_documents(df, bench).collect()}
     assert {(1, 1), (2, 2)} <= got and not any(d == 3 and i == 1 for d, i in got)
+
+
+def test_edited_copies_beside_a_verbatim_one(spark, awkward):
+    rng, p = random.Random(6), D.Decontamination()
+    items = [(i, prose(rng, 16)) for i in range(12)]
+    rows, want = [], set()
+    for i, text in items:
+        for k in range(16):
+            words = [prose(rng, 1) if rng.random() < (0, 0.1, 0.2, 0.3)[k % 4] and k else w for w in text.split()]
+            rows.append((100 * i + k, " ".join([prose(rng, 30), *words, prose(rng, 30)]), "", "", 0, 0))
+            seeded = {tuple(text.split()[j : j + 3]) for j in range(14)} & {tuple(words[j : j + 3]) for j in range(14)}
+            if seeded and D.align(D._hashes(text.split()), D._hashes(rows[-1][1].split()), p)[0] >= 16:
+                want.add((100 * i + k, i))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in D.contaminated_documents(spark.createDataFrame(rows, awkward.schema), bench).collect()}
+    assert len(want) > 120 and got == want
