@@ -195,7 +195,7 @@ def linear_contributions(clf: Classifier, view: DataFrame, feature_means: dict[s
     return view.select(id_col, F.explode(F.array(*cells)).alias("c")).select(id_col, "c.feature", "c.contribution")
 
 
-def attribution_sample(view: DataFrame, id_col: str, size: int = 2000, seed: int = 42) -> DataFrame:
+def attribution_sample(view: DataFrame, id_col: str, size: int, seed: int = 42) -> DataFrame:
     """C9 sample: the ``size`` rows lowest in portable-hash order (all rows if fewer).
     A top-k by hash: Spark keeps a bounded heap per partition (TakeOrderedAndProject)."""
     return view.withColumn("__u", uniform(seed, "explain", id_col)).orderBy("__u", id_col).limit(size).drop("__u")

@@ -55,6 +55,7 @@ def q_gain_importance(spark, d):
 
 @register("top_features_linear")
 def q_top_features_linear(spark, d):
+    """Mean absolute contributions over all test rows, for the linear model."""
     lab = S.assign_time_split(dirty(spark, d), "ts", 0.7, 0.15, tiebreak="event_id")
     train, _, test = S.split_frames(lab)
     prep = Preparer(DIRTY_ROLES).fit(train)
@@ -62,7 +63,7 @@ def q_top_features_linear(spark, d):
     clf = C.train_linear(tv, prep.features, "y")
     means = tv.agg(*[F.avg(f).alias(f) for f in prep.features]).first().asDict()
     sv = prep.transform_for_classifier(test, passthrough=["event_id"])
-    contrib = C.linear_contributions(clf, C.attribution_sample(sv, "event_id", 2000), means, "event_id")
+    contrib = C.linear_contributions(clf, sv, means, "event_id")
     return rounded(C.top_features(contrib, 20))
 
 

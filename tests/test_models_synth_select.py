@@ -167,3 +167,16 @@ def test_bootstrap_against_plain_resampling(spark):
         assert got[b].precision == pytest.approx((pos >= 0.5).sum() / max(1, (ss >= 0.5).sum()))
     r = E.bootstrap_ci(df, "y", "s", "id", lambda t: F.col("recall") - F.col("precision"), 40, seed=7).first()
     assert r.lower <= r["mean"] <= r.upper
+
+
+def test_linear_report_covers_all_test_rows(spark, tmp_path, monkeypatch):
+    from rarefold.plans import q_model
+
+    e = spark.range(14_000).selectExpr(
+        "id as event_id", "timestamp_seconds(id) as ts", "id * 37 % 101 as user_id", "case when id % 3 = 0 then 'purchase' else 'view' end as event_type", "cast(id * 53 % 211 as double) as value", "'' as props"
+    )
+    e.write.parquet(str(tmp_path / "events.parquet"))
+    seen, whole = [], q_model.C.linear_contributions
+    monkeypatch.setattr(q_model.C, "linear_contributions", lambda clf, view, *a: seen.append(view.count()) or whole(clf, view, *a))
+    assert q_model.q_top_features_linear(spark, str(tmp_path)).count() > 0
+    assert seen == [2100]
