@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rarefold.llm import captures, decontaminate, lmscore, minhash, packing, quality, repeats, secrets, sharding, tokencount, warc
+from rarefold.llm import captures, collocations, decontaminate, licenses, lmscore, minhash, packing, periodic, quality, repeats, secrets, sharding, tokencount, warc
 from rarefold.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +90,21 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_secret_scan")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan_documents(table(spark, sf_dir, "documents")))
+
+
+@query("op11_stripe_collocations")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_stripe_collocations"] = collocations.SQL
+
+
+@query("op13_diagonal_runs")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digest(periodic.periodic_runs(table(spark, sf_dir, "documents"), tails=True))
+
+
+@query("op12_diagonal_licenses")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
