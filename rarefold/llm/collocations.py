@@ -1,11 +1,15 @@
 """Collocations by stripes: each prefix keys a counter of the words that come next.
 
-A stripe is one row: language, prefix, bucket of the next word, next words, counts. Tasks fill stripes from their texts
-and merge them elementwise after a shuffle by (language, prefix, bucket), in sorted order, one stripe in memory
-at a time. Prefixes have 0 to 3 words. The merged stripes hold all that scoring needs: their entries are the extensions of a
-prefix and so the totals of the prefixes one word longer, the empty prefix sums to all words, and the greatest entries
-tell whether a longer phrase subsumes a shorter one. A stripe is filled only with phrases whose parts one word shorter are
-both frequent, which loses nothing, as no phrase is more frequent than its parts.
+Tasks fill stripes from their texts and merge them elementwise after a shuffle by prefix, in sorted order, one
+stripe in memory at a time. Prefixes have 0 to 3 words. The merged stripes hold all that scoring needs: their entries are the
+extensions of a prefix and so the totals of the prefixes one word longer, the empty prefix sums to all words, and the greatest
+entries tell whether a longer phrase subsumes a shorter one. A stripe is filled only with phrases whose parts one word shorter
+are both frequent, which loses nothing, as no phrase is more frequent than its parts.
+
+The stripe of the empty prefix has words as text and is dealt to many buckets. The others have 64-bit hashes of
+(language, prefix) and (language, next word), and only frequent phrases are turned into text again, by joins with
+the level below; two frequent phrases of one hash raise an error. Prefixes that hold more than 1 / ``HOT`` of all words,
+at most ``HOT`` of them, are dealt to buckets of next words.
 """
 
 from __future__ import annotations
@@ -38,14 +42,15 @@ class Collocations:
 #: Ends a piece; no word holds it.
 MARK = b"."
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz" + MARK * 9)
-#: A prefix's next words are dealt to this many stripes, those of the empty prefix (all words) to more.
-BUCKETS, FIRST_BUCKETS = 8, 4096
-#: Entries that a task holds before it hands its stripes on.
-HELD = 400_000
+#: Buckets of the empty prefix and of a hot one.
+FIRST_BUCKETS, HOT_BUCKETS, HOT = 4096, 64, 2000
+#: Distinct words, and distinct phrases, that a task holds before it hands its stripes on.
+HELD, HELD_PHRASES = 400_000, 2_000_000
 #: Bytes of text that are cut into words at a time.
 BYTES = 1 << 20
-STRIPE = "lang string, prefix string, bucket int, next array<string>, n array<long>"
-MERGED = "lang string, prefix string, bucket int, total long, next array<string>, n array<long>, hash array<long>"
+STRIPE = "lang string, bucket int, next array<string>, n array<long>"
+#: An entry of a hashed stripe.
+ENTRY = np.dtype([("next", "<i8"), ("n", "<u4")])
 
 
 def words_of(texts: list[bytes]) -> list[bytes]:
@@ -53,11 +58,15 @@ def words_of(texts: list[bytes]) -> list[bytes]:
     return MARK.join(texts).translate(_FOLD).replace(MARK, b" . ").split() + [MARK]
 
 
+def word_hash(word: bytes) -> int:
+    return 0 if word == MARK else xxhash.xxh64_intdigest(word) or 1
+
+
 class WordHashes(dict):
     """word -> 64-bit hash, 0 for the mark; bounded."""
 
     def __missing__(self, word: bytes) -> int:
-        h = 0 if word == MARK else xxhash.xxh64_intdigest(word) | 1
+        h = word_hash(word)
         if len(self) > 200_000:
             self.clear()
         self[word] = h
@@ -74,8 +83,10 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def phrase_hashes(hashes: np.ndarray, lang: str, length: int) -> np.ndarray:
     """Hash of the phrase of ``length`` words that starts at each word, words given by theirs."""
     h = np.full(max(0, len(hashes) - length + 1), xxhash.xxh64_intdigest(lang.encode()), np.uint64)
-    for k in range(length):
-        h = _mix(h, hashes[k : k + len(h)])
+    word = _mix(np.full(len(hashes), h[0] if len(h) else 0, np.uint64), hashes)
+    h = word[: len(h)]
+    for k in range(1, length):
+        h = _mix(h, word[k : k + len(h)])
     return h
 
 
@@ -95,128 +106,164 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[byte
             yield from held.items()
 
 
-def _stripes(lang: str, counted: Counter, length: int) -> Iterator[pa.RecordBatch]:
-    """Counted phrases (single words for the empty prefix, else tuples) as stripes; a prefix is joined by spaces."""
-    own: dict[tuple[bytes, int], tuple[list, list]] = {}
-    for phrase, n in counted.items():
-        word = phrase[-1] if length else phrase
-        key = (b" ".join(phrase[:-1]), zlib.crc32(word) % BUCKETS) if length else (b"", zlib.crc32(word) % FIRST_BUCKETS)
-        got = own.get(key)
-        if got is None:
-            got = own[key] = ([], [])
-        got[0].append(word.decode())
-        got[1].append(n)
-    keys = list(own)
-    for lo in range(0, len(keys), 20_000):
-        part = keys[lo : lo + 20_000]
-        lists = [own[k] for k in part]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([lang] * len(part), pa.string()),
-                pa.array([k[0].decode() for k in part], pa.string()),
-                pa.array([k[1] for k in part], pa.int32()),
-                pa.array([x[0] for x in lists], pa.list_(pa.string())),
-                pa.array([x[1] for x in lists], pa.list_(pa.int64())),
-            ],
-            ["lang", "prefix", "bucket", "next", "n"],
-        )
-
-
-def fill(texts: DataFrame, length: int, frequent: BitFilter | None) -> DataFrame:
-    """Stripes of the prefixes of ``length`` words, as many for a prefix as tasks that meet it.
-
-    ``frequent`` passes at least all frequent phrases of ``length`` words; the empty prefix needs none.
-    """
+def fill_words(texts: DataFrame) -> DataFrame:
+    """Stripes of the empty prefix: the words of each language, as many rows for a bucket as tasks that meet it."""
 
-    def count(lang: str, texts: list[bytes], hashes: WordHashes) -> Counter:
-        words = words_of(texts)
-        if frequent is None:
-            counted = Counter(words)
-            del counted[MARK]
-            return counted
-        h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-        may = frequent.test(phrase_hashes(h, lang, length))
-        for k in range(length):
-            may &= h[k : k + len(may)] != 0
-        at = np.flatnonzero(may[:-1] & may[1:]).tolist()
-        return Counter(tuple(words[i : i + length + 1]) for i in at)
+    def stripes(lang: str, counted: Counter) -> pa.RecordBatch:
+        own: dict[int, tuple[list, list]] = {}
+        for word, n in counted.items():
+            next_, count = own.setdefault(zlib.crc32(word) % FIRST_BUCKETS, ([], []))
+            next_.append(word.decode())
+            count.append(n)
+        lists = list(own.values())
+        return pa.RecordBatch.from_arrays(
+            [pa.array([lang] * len(own), pa.string()), pa.array(list(own), pa.int32()), pa.array([x[0] for x in lists], pa.list_(pa.string())), pa.array([x[1] for x in lists], pa.list_(pa.int64()))],
+            ["lang", "bucket", "next", "n"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held = WordHashes(), {}
-        for lang, texts in _batches(batches):
-            counted = count(lang, texts, hashes)
-            if lang in held:
-                held[lang].update(counted)
-            else:
-                held[lang] = counted
+        held: dict[str, Counter] = {}
+        for lang, own in _batches(batches):
+            held.setdefault(lang, Counter()).update(words_of(own))
             if sum(map(len, held.values())) > HELD:
-                for key, all_ in held.items():
-                    yield from _stripes(key, all_, length)
+                for key, counted in held.items():
+                    del counted[MARK]
+                    yield stripes(key, counted)
                 held = {}
-        for key, all_ in held.items():
-            yield from _stripes(key, all_, length)
+        for key, counted in held.items():
+            del counted[MARK]
+            yield stripes(key, counted)
 
     return texts.mapInArrow(run, STRIPE)
 
 
-def merge(stripes: DataFrame, length: int, least: int) -> DataFrame:
-    """One stripe for each language, prefix and bucket: elementwise sums.
+def merge_words(stripes: DataFrame, least: int) -> DataFrame:
+    """One stripe for each language and bucket: elementwise sums.
 
-    ``total`` is the sum of all counts; next, n and hash (of the whole phrase) list the words counted ``least`` times or
-    more. Tasks read their stripes in order and hold one.
+    ``total`` is the sum of all counts; next, n and hash list the words counted ``least`` times or more. Tasks read
+    their stripes in order and hold one.
     """
     parts = shuffle_partitions(stripes.sparkSession)
 
+    def row(lang: str, bucket: int, own: dict[str, int]) -> pa.RecordBatch:
+        kept = {w: n for w, n in own.items() if n >= least}
+        words = np.fromiter((word_hash(w.encode()) for w in kept), np.uint64, len(kept))
+        hashes = phrase_hashes(words, lang, 1).view(np.int64).tolist()
+        cols = [[lang], [bucket], [sum(own.values())], [list(kept)], [list(kept.values())], [hashes]]
+        kinds = [pa.string(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["lang", "bucket", "total", "next", "n", "hash"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: list[tuple] = []
         last, own = None, {}
-
-        def close() -> None:
-            kept = [(w, n) for w, n in own.items() if n >= least]
-            done.append((*last, sum(own.values()), [w for w, _ in kept], [n for _, n in kept]))
-
-        def out() -> pa.RecordBatch:
-            cols = list(zip(*done, strict=True))
-            flat = []
-            for lang, prefix, _, _, next_, _ in done:
-                hashes = []
-                if next_:
-                    w = [xxhash.xxh64_intdigest(x) | 1 for x in prefix.encode().split()]
-                    hashes = [int(phrase_hashes(np.array([*w, xxhash.xxh64_intdigest(x.encode()) | 1], np.uint64), lang, length + 1).view(np.int64)[0]) for x in next_]
-                flat.append(hashes)
-            kinds = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64())]
-            arrays = [pa.array(c, kind) for c, kind in zip(cols, kinds, strict=True)] + [pa.array(flat, pa.list_(pa.int64()))]
-            done.clear()
-            return pa.RecordBatch.from_arrays(arrays, ["lang", "prefix", "bucket", "total", "next", "n", "hash"])
-
         for batch in batches:
-            next_, n = batch.column("next"), batch.column("n")
-            at = next_.offsets.to_numpy() - next_.offsets[0].as_py()
-            words, counts = next_.flatten().to_pylist(), n.flatten().to_pylist()
-            keys = zip(batch.column("lang").to_pylist(), batch.column("prefix").to_pylist(), batch.column("bucket").to_pylist(), strict=True)
-            for key, lo, hi in zip(keys, at[:-1].tolist(), at[1:].tolist(), strict=True):
-                if key != last:
+            for lang, bucket, next_, n in zip(*(batch.column(c).to_pylist() for c in ("lang", "bucket", "next", "n")), strict=True):
+                if (lang, bucket) != last:
                     if last is not None:
-                        close()
-                        if len(done) >= 10_000:
-                            yield out()
-                    last, own = key, dict(zip(words[lo:hi], counts[lo:hi], strict=True))
-                    continue
-                for w, c in zip(words[lo:hi], counts[lo:hi], strict=True):
+                        yield row(*last, own)
+                    last, own = (lang, bucket), {}
+                for w, c in zip(next_, n, strict=True):
                     own[w] = own.get(w, 0) + c
         if last is not None:
-            close()
-            yield out()
+            yield row(*last, own)
 
-    dealt = stripes.repartition(parts, "lang", "prefix", "bucket").sortWithinPartitions("lang", "prefix", "bucket")
-    return dealt.mapInArrow(run, MERGED)
+    dealt = stripes.repartition(parts, "lang", "bucket").sortWithinPartitions("lang", "bucket")
+    return dealt.mapInArrow(run, "lang string, bucket int, total long, next array<string>, n array<long>, hash array<long>")
 
 
-def _extensions(merged: DataFrame, length: int) -> DataFrame:
-    """(lang, prefix, phrase, m words, a) for every entry of merged stripes."""
-    one = merged.where(F.size("n") > 0).select("lang", "prefix", F.explode(F.arrays_zip("next", "n")).alias("e"))
-    phrase = F.concat_ws(" ", "prefix", "e.next") if length else F.col("e.next")
-    return one.select("lang", "prefix", phrase.alias("phrase"), F.lit(length + 1).alias("m"), F.col("e.n").alias("a"))
+def _summed(rank: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Rows sorted by ``rank`` (first column first), those equal in all of them as one, with the sum of ``n``."""
+    if not len(n):
+        return rank, n
+    order = np.lexsort(rank[::-1])
+    rank, n = [r[order] for r in rank], n[order]
+    new = np.ones(len(n), bool)
+    new[1:] = np.logical_or.reduce([r[1:] != r[:-1] for r in rank])
+    at = np.flatnonzero(new)
+    return [r[at] for r in rank], np.add.reduceat(n, at)
+
+
+def fill(texts: DataFrame, length: int, frequent: BitFilter, hot: np.ndarray) -> DataFrame:
+    """(prefix, bucket, entries): stripes of the prefixes of ``length`` words, as many for a prefix as tasks that meet it.
+
+    ``frequent`` passes at least all frequent phrases of ``length`` words; ``hot`` are the prefixes dealt to several buckets.
+    """
+
+    def stripes(prefix: np.ndarray, next_: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        bucket = np.where(np.isin(prefix, hot), next_ & (HOT_BUCKETS - 1), 0).astype(np.int32)
+        (prefix, bucket, next_), n = _summed([prefix, bucket, next_], n)
+        entries = np.empty(len(n), ENTRY)
+        entries["next"], entries["n"] = next_, n
+        new = np.ones(len(n), bool)
+        new[1:] = (prefix[1:] != prefix[:-1]) | (bucket[1:] != bucket[:-1])
+        at = np.flatnonzero(new)
+        ends = (np.append(at, len(n)) * ENTRY.itemsize).astype(np.int32)
+        data = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(entries.tobytes())])
+        return pa.RecordBatch.from_arrays([pa.array(prefix[at]), pa.array(bucket[at]), data], ["prefix", "bucket", "entries"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        held, size, fresh = [], 0, 0
+
+        def together() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            (prefix, next_), n = _summed([np.concatenate([h[k] for h in held]) for k in (0, 1)], np.concatenate([h[2] for h in held]))
+            return prefix, next_, n
+
+        for lang, own in _batches(batches):
+            words = words_of(own)
+            h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+            one, of = phrase_hashes(h, lang, 1), phrase_hashes(h, lang, length)
+            may = frequent.test(of)
+            for k in range(length):
+                may &= h[k : k + len(may)] != 0
+            at = np.flatnonzero(may[:-1] & may[1:])
+            held.append((of[at].view(np.int64), one[at + length].view(np.int64), np.ones(len(at), np.int64)))
+            size, fresh = size + len(at), fresh + len(at)
+            if fresh > HELD_PHRASES // 4:
+                held = [together()]
+                size, fresh = len(held[0][0]), 0
+                if size > HELD_PHRASES:
+                    yield stripes(*held[0])
+                    held, size = [], 0
+        if size:
+            yield stripes(*together())
+
+    return texts.mapInArrow(run, "prefix long, bucket int, entries binary")
+
+
+def merge(stripes: DataFrame, least: int) -> DataFrame:
+    """(prefix, next, a, hash): the entries counted ``least`` times or more once all stripes of a prefix (and bucket) are summed; hash is the whole phrase's."""
+    parts = shuffle_partitions(stripes.sparkSession)
+
+    def out(rows: list[np.ndarray], n: np.ndarray) -> pa.RecordBatch:
+        prefix, _, next_ = (r[n >= least] for r in rows)
+        whole = _mix(prefix.view(np.uint64), next_.view(np.uint64)).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (prefix, next_, n[n >= least], whole)], ["prefix", "next", "a", "hash"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, n = [np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)], np.zeros(0, np.int64)
+        for batch in batches:
+            entries = [np.frombuffer(e, ENTRY) for e in batch.column("entries").to_pylist()]
+            sizes = np.fromiter(map(len, entries), np.int64, len(entries))
+            all_ = np.concatenate(entries) if entries else np.zeros(0, ENTRY)
+            fresh = [np.repeat(batch.column(c).to_numpy(), sizes) for c in ("prefix", "bucket")] + [all_["next"]]
+            rows, n = _summed([np.concatenate(x) for x in zip(rows, fresh, strict=True)], np.concatenate([n, all_["n"].astype(np.int64)]))
+            if len(n):  # the last stripe may go on
+                open_ = (rows[0] == rows[0][-1]) & (rows[1] == rows[1][-1])
+                yield out([r[~open_] for r in rows], n[~open_])
+                rows, n = [r[open_] for r in rows], n[open_]
+        yield out(rows, n)
+
+    dealt = stripes.repartition(parts, "prefix", "bucket").sortWithinPartitions("prefix", "bucket")
+    return dealt.mapInArrow(run, "prefix long, next long, a long, hash long")
+
+
+def _known(phrases: DataFrame) -> DataFrame:
+    """``phrases`` staged; their hashes must tell them apart."""
+    phrases = staged(phrases, "phrases")
+    n = phrases.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("hash").alias("hashes")).first()
+    if n.n != n.hashes:
+        raise ValueError("two frequent phrases have one hash")
+    return phrases
 
 
 def collocations(documents: DataFrame, p: Collocations = Collocations()) -> DataFrame:
@@ -230,16 +277,21 @@ def collocations(documents: DataFrame, p: Collocations = Collocations()) -> Data
     result is empty. All sums are exact (decimals where a product may pass 64 bits).
     """
     texts = documents.select(F.coalesce("lang", F.lit("und")).alias("lang"), text_or_empty("text").alias("text"))
-    frequent, counts, words = None, None, None
-    for length in range(p.longest):
-        merged = staged(merge(fill(texts, length, frequent), length, p.least), "stripes")
-        found = _extensions(merged, length)
-        if length:
-            counts = counts.unionByName(found)
-        else:
-            counts, words = found, merged.groupBy("lang").agg(F.sum("total").alias("n"))
-        frequent = BitFilter(merged.select(F.explode("hash").alias("h")))
-    counts = staged(counts, "phrases")
+    first = staged(merge_words(fill_words(texts), p.least), "stripes")
+    words = first.groupBy("lang").agg(F.sum("total").alias("n"))
+    single = first.select("lang", F.explode(F.arrays_zip("next", "n", "hash")).alias("e"))
+    single = _known(single.select("lang", F.lit(None).cast("string").alias("prefix"), F.col("e.next").alias("phrase"), F.lit(1).alias("m"), F.col("e.n").alias("a"), F.col("e.hash").alias("hash")))
+    share = (words.agg(F.sum("n")).first()[0] or 0) // HOT
+    below, counts = single, single
+    for length in range(1, p.longest):
+        hot = np.array([r.hash for r in below.where(F.col("a") > share).select("hash").collect()], np.int64)  # at most HOT rows
+        merged = merge(fill(texts, length, BitFilter(below.select("hash")), hot), p.least)
+        prefix = below.select("lang", F.col("phrase").alias("prefix"), F.col("hash").alias("of"))
+        next_ = single.select(F.col("phrase").alias("word"), F.col("hash").alias("of_next"))
+        merged = staged(merged.toDF("of", "of_next", "a", "hash"), "stripes").join(prefix, "of").join(next_, "of_next")
+        below = _known(merged.select("lang", "prefix", F.concat_ws(" ", "prefix", "word").alias("phrase"), F.lit(length + 1).alias("m"), "a", "hash"))
+        counts = counts.unionByName(below)
+    counts = counts.drop("hash")
     found = counts.where("m > 1")
 
     longer = found.where("m > 2")

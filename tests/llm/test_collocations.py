@@ -47,6 +47,7 @@ def test_against_plain_python(spark, rows, held, monkeypatch):
     docs = spark.createDataFrame([(i, *r, "x") for i, r in enumerate(rows)], "doc_id long, lang string, text string, rank string").repartition(5)
     for p in (c.Collocations(least=8, top=40), c.Collocations(least=30)):
         monkeypatch.setattr(c, "HELD", held)
+        monkeypatch.setattr(c, "HELD_PHRASES", held)
         got = c.collocations(docs, p)
         assert got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
         assert sorted(map(tuple, got.collect())) == plain(rows, p)
@@ -59,6 +60,6 @@ def test_nothing_frequent(awkward, empty):
 
 def test_large_products(spark):
     p = c.Collocations()
-    stripes = spark.createDataFrame([("en", "", 0, ["x"], [6 * 10**17])] * 4, c.STRIPE)
-    assert c.merge(stripes, 0, p.least).first().n == [24 * 10**17]
+    stripes = spark.createDataFrame([("en", 0, ["x"], [6 * 10**17])] * 4, c.STRIPE)
+    assert c.merge_words(stripes, p.least).first().n == [24 * 10**17]
     assert spark.sql("select (cast(4000000000000000000L as decimal(20,0)) * 2000000BD) div (cast(4000000000000000000L as decimal(20,0)) + cast(4000000000000000001L as decimal(20,0)))").first()[0] == 999999
