@@ -65,8 +65,18 @@ def cut_lineage(df):
     return df.checkpoint(eager=True)
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: computed once, safe against lost executors."""
+def staged(df: DataFrame, name: str, keep_path: bool = False):
+    """Write ``df`` to the shared folder and read it back: computed once, safe against lost executors.
+
+    With ``keep_path`` the answer is (table, path), for ``remove_staged``.
+    """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    return (back, path) if keep_path else back
+
+
+def remove_staged(spark: SparkSession, path: str) -> None:
+    """Delete a staged table that nothing reads any more, by Spark's own file system."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
