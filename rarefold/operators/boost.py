@@ -175,8 +175,8 @@ class _Fit:
     scale: float
 
 
-def _level_histograms(rows: DataFrame, fit: _Fit, pending: list[Tree], tree: Tree, k: int, open_: list[int], features: list[int]) -> DataFrame:
-    """(feature, entries): a histogram for each partition and feature, over the rows that are in open nodes of the tree."""
+def _histograms(fit: _Fit, pending: list[Tree], tree: Tree, k: int, open_: list[int], features: list[int]):
+    """A function from a partition's rows to (feature, entries): a histogram for each feature, over the rows that are in open nodes of the tree."""
     n = len(fit.sizes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,53 +220,53 @@ def _level_histograms(rows: DataFrame, fit: _Fit, pending: list[Tree], tree: Tre
         made = {f: _sum_entries(parts).tobytes() for f, parts in sparse.items()}
         yield pa.RecordBatch.from_arrays([pa.array(list(made), pa.int32()), pa.array(list(made.values()), pa.binary())], ["feature", "entries"])
 
-    return rows.mapInArrow(run, "feature int, entries binary")
-
-
-def _merged(histograms: DataFrame, parts: int) -> DataFrame:
-    """One histogram a feature (and part, where a first merge spreads many partitions over tasks)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for f, data in zip(batch.column("feature").to_pylist(), batch.column("entries").to_pylist(), strict=True):
-                e = np.frombuffer(data, _ENTRY)
-                held[f] = _sum_entries([held[f], e]) if f in held else e
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([e.tobytes() for e in held.values()], pa.binary())], ["feature", "entries"])
-
+    return run
+
+
+_HISTOGRAMS, _CUT = "feature int, entries binary", "node int, feature int, gain double, cut int, categories array<int>, g long, h long, left_g long, left_h long"
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One histogram a feature."""
+    held: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for f, data in zip(batch.column("feature").to_pylist(), batch.column("entries").to_pylist(), strict=True):
+            e = np.frombuffer(data, _ENTRY)
+            held[f] = _sum_entries([held[f], e]) if f in held else e
+    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([e.tobytes() for e in held.values()], pa.binary())], ["feature", "entries"])
+
+
+def _cuts_of(histograms: Iterator[pa.RecordBatch], fit: _Fit) -> Iterator[pa.RecordBatch]:
+    """The best cut of each open node on each feature, from whole histograms; feature -1 gives a node's totals alone."""
+    out = []
+    for batch in histograms:
+        for f, data in zip(batch.column("feature").to_pylist(), batch.column("entries").to_pylist(), strict=True):
+            e = np.frombuffer(data, _ENTRY)
+            edges = [*np.flatnonzero(np.diff(e["node"], prepend=-1)).tolist(), len(e)]
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                own, node = e[lo:hi], int(e["node"][lo])
+                g, h = int(own["g"].sum()), int(own["h"].sum())
+                found = best_cut(own["bin"], own["g"], own["h"], fit.category[f], fit.scale, fit.p)
+                if found is None:
+                    out.append((node, -1, 0.0, -1, None, g, h, 0, 0))
+                    continue
+                gain, k, order, lg, lh = found
+                sets = sorted(order[: k + 1].tolist()) if fit.category[f] else None
+                out.append((node, f, gain, -1 if sets else int(order[k]), sets, g, h, lg, lh))
+    cols = list(zip(*out, strict=True)) or [()] * 9
+    kinds = [pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.list_(pa.int32()), *[pa.int64()] * 4]
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [x.split()[0] for x in _CUT.split(", ")])
+
+
+def level_cuts(rows: DataFrame, parts: int, fit: _Fit, pending: list[Tree], tree: Tree, k: int, open_: list[int], features: list[int]) -> DataFrame:
+    """One row for each open node and feature. A single partition needs no shuffle; many are merged in two steps, so that no task reads a histogram from each."""
+    make = _histograms(fit, pending, tree, k, open_, features)
+    if parts == 1:
+        return rows.mapInArrow(lambda batches: _cuts_of(make(batches), fit), _CUT)
+    made = rows.mapInArrow(make, _HISTOGRAMS)
     if parts > 64:
-        spread = histograms.withColumn("part", F.spark_partition_id() % 64).repartition(parts, "feature", "part").drop("part")
-        histograms = spread.mapInArrow(run, "feature int, entries binary")
-    return histograms.repartition(max(1, min(parts, 200)), "feature").mapInArrow(run, "feature int, entries binary")
-
-
-_CUT = "node int, feature int, gain double, cut int, categories array<int>, g long, h long, left_g long, left_h long"
-
-
-def _best_cuts(histograms: DataFrame, fit: _Fit) -> DataFrame:
-    """The best cut of each open node on each feature; feature -1 gives a node's totals."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-        out = []
-        for batch in batches:
-            for f, data in zip(batch.column("feature").to_pylist(), batch.column("entries").to_pylist(), strict=True):
-                e = np.frombuffer(data, _ENTRY)
-                for node in np.unique(e["node"]).tolist():
-                    own = e[e["node"] == node]
-                    g, h = int(own["g"].sum()), int(own["h"].sum())
-                    found = best_cut(own["bin"], own["g"], own["h"], fit.category[f], fit.scale, fit.p)
-                    if found is None:
-                        out.append((node, -1, 0.0, -1, None, g, h, 0, 0))
-                        continue
-                    gain, k, order, lg, lh = found
-                    sets = sorted(order[: k + 1].tolist()) if fit.category[f] else None
-                    out.append((node, f, gain, -1 if sets else int(order[k]), sets, g, h, lg, lh))
-        cols = list(zip(*out, strict=True)) or [()] * 9
-        kinds = [pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.list_(pa.int32()), *[pa.int64()] * 4]
-        names = [x.split()[0] for x in _CUT.split(", ")]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
-
-    return histograms.mapInArrow(run, _CUT)
+        made = made.withColumn("part", F.spark_partition_id() % 64).repartition(parts, "feature", "part").drop("part").mapInArrow(_merge, _HISTOGRAMS)
+    return made.repartition(min(parts, len(features)), "feature").mapInArrow(lambda batches: _cuts_of(_merge(batches), fit), _CUT)
 
 
 def grow_tree(rows: DataFrame, parts: int, fit: _Fit, pending: list[Tree], k: int) -> Tree:
@@ -275,7 +275,7 @@ def grow_tree(rows: DataFrame, parts: int, fit: _Fit, pending: list[Tree], k: in
     tree.add(0.0, 0.0)
     features, open_ = tree_features(len(fit.sizes), k, p), [0]
     for _ in range(p.max_depth):
-        made = _best_cuts(_merged(_level_histograms(rows, fit, pending, tree, k, open_, features), parts), fit).collect()
+        made = level_cuts(rows, parts, fit, pending, tree, k, open_, features).collect()
         best: dict[int, tuple] = {}
         for r in made:
             if open_ == [0] and not tree.cover[0]:

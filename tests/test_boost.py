@@ -141,3 +141,15 @@ def test_loss_falls_and_awkward_rows(spark, table):
         train_boosted(flat.limit(0), ["a"], "y")
     with pytest.raises(ValueError):
         train_boosted(odd.withColumn("y", F.lit(None).cast("int")), ["a"], "y")
+
+
+def test_partitions_merge_to_the_same_trees(spark, table, monkeypatch):
+    from rarefold.operators import boost
+
+    _, df = table
+    p = BoostParams(max_iter=2, max_depth=3, subsample=1.0, early_stopping_rounds=None)
+    want = [t.value for t in train_boosted(df, FEATURES, "y", params=p).trees]
+    for rows, dense in ((100, 1 << 16), (5, 1 << 16), (100, 4)):  # several partitions, more than 64, sparse histograms
+        monkeypatch.setattr(boost, "ROWS", rows)
+        monkeypatch.setattr(boost, "_DENSE", dense)
+        assert [t.value for t in train_boosted(df, FEATURES, "y", params=p).trees] == want
