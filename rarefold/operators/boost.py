@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rarefold.operators.metrics import ranking_metrics
+from rarefold.operators.weight import pos_weight
 from rarefold.session import remove_staged, staged
 
 #: Metadata of a column of category codes.
@@ -70,7 +71,7 @@ class Tree:
 
     feature: list[int] = field(default_factory=list)
     cut: list[int] = field(default_factory=list)  # numeric: bins up to it go left
-    categories: list[np.ndarray | None] = field(default_factory=list)  # codes that go left
+    categories: list[np.ndarray | None] = field(default_factory=list)  # bins of the codes that go left
     left: list[int] = field(default_factory=list)
     right: list[int] = field(default_factory=list)
     value: list[float] = field(default_factory=list)
@@ -314,8 +315,9 @@ class Boosted:
         """Rows of raw feature values (null as NaN) to rows of bins."""
         out = np.empty(x.shape, np.int32)
         for j, cuts in enumerate(self.cuts):
-            v = np.where(np.isnan(x[:, j]), -np.inf if cuts is not None else -1, x[:, j])
-            out[:, j] = v if cuts is None else np.searchsorted(np.array(cuts), v, "left")
+            v = np.where(np.isnan(x[:, j]), -np.inf, x[:, j])
+            # a category is its code plus one; 0 is a missing one
+            out[:, j] = np.clip(v + 1, 0, np.iinfo(np.int32).max) if cuts is None else np.searchsorted(np.array(cuts), v, "left")
         return out
 
     def margin(self, view: DataFrame, out: str) -> DataFrame:
@@ -456,7 +458,7 @@ def train_boosted(
         raise ValueError("no training rows")
     cuts = _cuts(train, numbers, p.bins)
     model = Boosted([], features, [None if f in cats else cuts[f] for f in features], target)
-    sizes = [int(about[f"c{i}"] or 0) + 1 if f in cats else len(cuts[f]) + 1 for i, f in enumerate(features)]
+    sizes = [int(about[f"c{i}"] or 0) + 2 if f in cats else len(cuts[f]) + 1 for i, f in enumerate(features)]
     heaviest = max(1.0, weight)
     # sums of all rows stay below 2**62, sums of a slice of rows below 2**53
     bits = min(62 - math.ceil(math.log2(about["n"] * heaviest + 1)), 52 - 14 - math.ceil(math.log2(heaviest)))
@@ -504,3 +506,10 @@ def train_boosted(
 
 def params_of(overrides: dict | None) -> BoostParams:
     return BoostParams(**{**asdict(BoostParams()), **(overrides or {})})
+
+
+def train_main_classifier(
+    train: DataFrame, features: Sequence[str], target: str, val: DataFrame | None = None, scale_pos_weight="auto", params: dict | None = None, categorical: Sequence[str] | None = None
+) -> Boosted:
+    """C2 as declared (``BoostParams``, with overrides by name): positives weigh negatives / positives unless a weight is given."""
+    return train_boosted(train, features, target, val, float(pos_weight(train, target, scale_pos_weight)), params_of(params), categorical)

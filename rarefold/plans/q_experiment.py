@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rarefold.operators import experiment as E
 from rarefold.operators import select as R
+from rarefold.operators.boost import train_main_classifier
 from rarefold.operators.model import train_fast_classifier
 from rarefold.operators.oversample import smote
 from rarefold.plans.q_metrics import _GROW_SQL, _grouped
@@ -13,7 +14,7 @@ from rarefold.plans.q_select import reward_metric, selection_inputs
 from rarefold.plans.registry import register, rounded
 from rarefold.plans.tables import SQL_SCORED, scored_events
 from rarefold.operators import metrics as M
-from rarefold.session import scratch_path
+from rarefold.session import scratch_path, staged
 
 SEED, B = 42, 1000
 
@@ -68,10 +69,10 @@ def q_ablation(spark, d):
     base, syn, pool, selected, feats = _scenarios(spark, d)
     table = E.scenario_table(base, syn, pool, selected)
     lab = S.assign_time_split(smote_input(spark, d), "event_id", 0.7, 0.15)
-    _, _, test = S.split_frames(lab)
+    _, val, test = S.split_frames(staged(lab, "split"))
     names = [r[0] for r in table.select("scenario").distinct().collect()]
     scen = {n: table.where(F.col("scenario") == n).drop("scenario") for n in sorted(names)}
-    trainer = lambda rows: train_fast_classifier(rows, feats, "y", dict(max_iter=10))
+    trainer = lambda rows: train_main_classifier(rows, feats, "y", val.select(*feats, "y"), params=dict(max_iter=10), categorical=["c2"])
     return rounded(E.run_ablation(scen, test.select(*feats, "y"), feats, "y", trainer))
 
 
@@ -84,7 +85,7 @@ def q_score_stream(spark, d):
 
     raw = orders_with_customers(spark, d)
     lab = S.assign_time_split(raw, "o_orderdate", 0.7, 0.15, tiebreak="o_orderkey")
-    train, _, test = S.split_frames(lab)
+    train, _, test = S.split_frames(staged(lab, "split"))
     prep = Preparer(ROLES).fit(train)
     clf = train_fast_classifier(prep.transform_for_classifier(train), prep.features, ROLES.target, dict(max_iter=10))
     src = scratch_path(spark, "feed")
@@ -105,7 +106,7 @@ def q_train_evaluate(spark, d):
         roles=Roles(target=LABEL, id="event_id", time="ts"),
         episodes=4,
         episode_size=64,
-        classifier=dict(max_iter=8, max_depth=4, step_size=0.1, early_stopping_rounds=3),
+        classifier=dict(max_iter=8),
         reward_classifier=dict(max_iter=5),
     )
     raw = transactions(spark, d)

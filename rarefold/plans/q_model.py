@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from rarefold.operators import model as C
 from rarefold.operators import split as S
 from rarefold.operators.attribution import tree_contributions
+from rarefold.operators.boost import train_main_classifier
 from rarefold.operators.prep import Preparer
 from rarefold.plans.flagship import FLAGSHIP_PARAMS, ROLES, flagship, orders_with_customers
 from rarefold.plans.q_prep import DIRTY_ROLES, dirty
@@ -29,8 +30,8 @@ def _fitted(spark, d):
 @register("classifier_scores")
 def q_classifier_scores(spark, d):
     prep, train, val, test = _fitted(spark, d)
-    tv, vv = prep.transform_for_classifier(train), prep.transform_for_classifier(val)
-    clf = C.train_classifier(tv, prep.features, ROLES.target, vv, params=FLAGSHIP_PARAMS)
+    tv, vv = (staged(prep.transform_for_classifier(x), "view") for x in (train, val))
+    clf = train_main_classifier(tv, prep.features, ROLES.target, vv, params=FLAGSHIP_PARAMS, categorical=prep.categorical)
     sv = prep.transform_for_classifier(test, passthrough=["o_orderkey"])
     return rounded(clf.predict(sv).select("o_orderkey", C.PROBA, C.PRED))
 
@@ -57,7 +58,7 @@ def q_gain_importance(spark, d):
 def q_top_features_linear(spark, d):
     """Mean absolute contributions over all test rows, for the linear model."""
     lab = S.assign_time_split(dirty(spark, d), "ts", 0.7, 0.15, tiebreak="event_id")
-    train, _, test = S.split_frames(lab)
+    train, _, test = S.split_frames(staged(lab, "split"))
     prep = Preparer(DIRTY_ROLES).fit(train)
     tv = prep.transform_for_classifier(train)
     clf = C.train_linear(tv, prep.features, "y")

@@ -76,3 +76,43 @@ def test_contributions_add_up_to_the_margin(spark):
     margin = {r.id: r.m for r in clf.model.transform(df.withColumn("y", F.col("y").cast("double"))).select("id", vector_to_array("rawPrediction")[1].alias("m")).collect()}
     assert len(total) == 300 and all(total[i] + base == pytest.approx(margin[i]) for i in margin)
     assert [r.feature for r in top_features(long, 3).collect()][2] == "c"
+
+
+def test_boosted_trees_with_categories_add_up(spark):
+    import numpy as np
+
+    from rarefold.operators.attribution import _boosted_leaves
+    from rarefold.operators.boost import BoostParams, train_boosted
+
+    rng = random.Random(4)
+    rows = []
+    for i in range(400):
+        a, c = rng.random(), rng.randrange(9)
+        rows.append((i, a, c, rng.gauss(0, 1), int((c in (2, 5, 7)) + a + 0.4 * rng.gauss(0, 1) > 1.1)))
+    df = spark.createDataFrame(rows, "id long, a double, c int, d double, y int")
+    m = train_boosted(df, ["a", "c", "d"], "y", weight=2.0, params=BoostParams(max_iter=5, max_depth=4, min_child_weight=1.0, colsample=1.0, early_stopping_rounds=None), categorical=["c"])
+    long, base = tree_contributions(m, df, "id")
+    total = {r.id: r.s for r in long.groupBy("id").agg(F.sum("contribution").alias("s")).collect()}
+    margin = {r.id: r.m for r in m.margin(df, "m").collect()}
+    assert len(total) == 400 and all(total[i] + base == pytest.approx(margin[i]) for i in margin)
+    assert {r.feature for r in top_features(long, 2).collect()} == {"a", "c"}
+
+    def value(t, x, known, i=0):
+        f = t.feature[i]
+        if f < 0:
+            return t.value[i]
+        if f in known:
+            goes = x[f] in t.categories[i] if t.categories[i] is not None else x[f] <= t.cut[i]
+            return value(t, x, known, t.left[i] if goes else t.right[i])
+        return sum(t.cover[k] * value(t, x, known, k) for k in (t.left[i], t.right[i])) / t.cover[i]
+
+    x = m.bins(np.array([r[1:4] for r in rows[:20]], float))
+    t = m.trees[0]
+    for row in x:
+        got = np.zeros(3)
+        for leaf in _boosted_leaves(t):
+            got[leaf.features] += leaf.table[leaf.ways(row[None, :])][0]
+        for i in range(3):
+            others = [f for f in range(3) if f != i]
+            want = sum(math.factorial(r) * math.factorial(2 - r) / 6 * (value(t, row, {*s, i}) - value(t, row, set(s))) for r in range(3) for s in itertools.combinations(others, r))
+            assert got[i] == pytest.approx(want)

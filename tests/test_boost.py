@@ -95,7 +95,8 @@ def test_planted_rule_on_unordered_codes_is_one_split(spark):
     assert category_columns(df, ["c"]) == {"c"}
     m = train_boosted(df, ["c"], "y", params=BoostParams(max_iter=1, max_depth=1, colsample=1.0, early_stopping_rounds=None))
     t = m.trees[0]
-    sets = [set(t.categories[0].tolist()), set(range(50)) - set(t.categories[0].tolist())]
+    left = {b - 1 for b in t.categories[0].tolist()}  # bins are codes plus one
+    sets = [left, set(range(50)) - left]
     assert good in sets and len(t.feature) == 3
     ordered = train_boosted(df, ["c"], "y", params=BoostParams(max_iter=1, max_depth=1, early_stopping_rounds=None), categorical=[])
     assert ordered.trees[0].gain[0] < t.gain[0]
@@ -135,6 +136,8 @@ def test_loss_falls_and_awkward_rows(spark, table):
     odd = spark.createDataFrame([(None, float("nan"), None, float("inf"), 1), (1.0, 2.0, 99, -1.0, 0)], "a double, b double, c int, d double, y int")
     assert m.predict(odd).where("fraud_prediction in (0, 1)").count() == 2
     assert m.predict(odd.limit(0)).count() == 0 and m.batch_predict(odd.limit(0)).columns[-1] == "fraud_probability"
+    some = df.withColumn("c", F.when(F.col("c") != 2, F.col("c")).alias("c", metadata=CATEGORY))
+    assert train_boosted(some, FEATURES, "y", params=BoostParams(max_iter=2, max_depth=2, early_stopping_rounds=None)).predict(some).count() == 400
     flat = spark.createDataFrame([(1.0, 1)] * 20, "a double, y int")
     assert all(t.feature == [-1] for t in train_boosted(flat, ["a"], "y", params=BoostParams(max_iter=2, early_stopping_rounds=None)).trees)
     with pytest.raises(ValueError):
