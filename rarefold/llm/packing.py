@@ -34,8 +34,10 @@ class Packing:
     rounds: int = 6
 
 
-#: Word encodings that a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 600_000
+#: Bytes of word encodings that a worker remembers, in two memories; beyond it they start anew. Longer chunks are not remembered.
+REMEMBERED_BYTES, REMEMBERED_LENGTH = 40 << 20, 64
+#: Bytes of text that are encoded at a time; a longer text is encoded alone.
+BYTES = 1 << 20
 
 
 #: Lower-case letters whose lower-casing and normal form are themselves, and marks that end a word.
@@ -58,6 +60,7 @@ class WordEncoder(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.words: dict[str, bytes] = {}
+        self.held = 0
         # the letters that stand for bytes in the model's vocabulary
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.letters = {ord(c): level.pre_tokenize_str(c)[0][0] for c in map(chr, range(0x250)) if _LETTERS(c)}
@@ -65,39 +68,52 @@ class WordEncoder(dict):
     def _word(self, word: str) -> bytes:
         ids = self.words.get(word)
         if ids is None:
-            ids = self.words[word] = np.array([t.id for t in self.model.tokenize(word.translate(self.letters))], "<u4").tobytes()
+            ids = np.array([t.id for t in self.model.tokenize(word.translate(self.letters))], "<u4").tobytes()
+            self._keep(self.words, word, ids)
         return ids
 
+    def _keep(self, memory: dict[str, bytes], chunk: str, ids: bytes) -> None:
+        if len(chunk) <= REMEMBERED_LENGTH:
+            memory[chunk] = ids
+            self.held += 240 + len(chunk) + len(ids)  # an entry, its string and its bytes
+
     def _whole(self, chunks: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
-    def _learn(self, new: set[str]) -> None:
-        other = []
+    def _learn(self, new: set[str]) -> dict[str, bytes]:
+        """The encodings of ``new``; those of short chunks are remembered too."""
+        other, made = [], {}
         for c in new:
             word = c.rstrip(_ENDINGS)
             low = word.lower()
             if _LETTERS(low):
-                self[c] = self._word(low) + (self._marks(c[len(word) :]) if len(word) < len(c) else b"")
+                made[c] = self._word(low) + (self._marks(c[len(word) :]) if len(word) < len(c) else b"")
             else:
                 other.append(c)
         for at in range(0, len(other), 4096):
             part = other[at : at + 4096]
-            self.update(zip(part, self._whole(part), strict=True))
+            made.update(zip(part, self._whole(part), strict=True))
+        for c, ids in made.items():
+            self._keep(self, c, ids)
+        return made
 
     def _marks(self, marks: str) -> bytes:
         ids = self.words.get(marks)
         if ids is None:
-            ids = self.words[marks] = self._whole([marks])[0]
+            ids = self._whole([marks])[0]
+            self._keep(self.words, marks, ids)
         return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         chunks = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        if len(self) > REMEMBERED:
+        if self.held > REMEMBERED_BYTES:
             self.clear()
-        if len(self.words) > REMEMBERED:
             self.words.clear()
-        self._learn({c for own in chunks for c in own if c not in self})
-        return [b"".join(map(self.__getitem__, own)) for own in chunks]
+            self.held = 0
+        made = self._learn({c for own in chunks for c in own if c not in self})
+        if all(len(c) <= REMEMBERED_LENGTH for c in made):
+            return [b"".join(map(self.__getitem__, own)) for own in chunks]
+        return [b"".join([made.get(c) or self.get(c, b"") for c in own]) for own in chunks]
 
 
 @cache
@@ -108,33 +124,42 @@ def _encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def pieces(documents: DataFrame, tokenizer_path: str, p: Packing) -> DataFrame:
-    """doc_id, piece, start, length, ids (little-endian 32-bit) for every piece of every row."""
+def pieces(documents: DataFrame, tokenizer_path: str, p: Packing, with_ids: bool = False) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, and on demand ids (little-endian 32-bit), for every piece of every row."""
     kind = documents.schema["doc_id"].dataType.simpleString()
     step, end = 4 * p.capacity, np.array([p.separator], "<u4").tobytes()
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
+
+    def cut(batch: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
+        row, piece, start, length, crc, ids = [], [], [], [], [], []
+        for i, data in enumerate(_encoder(tokenizer_path).encode(texts)):
+            data += end
+            for k, lo in enumerate(range(0, len(data), step)):
+                part = data[lo : lo + step]
+                row.append(i)
+                piece.append(k)
+                start.append(lo // 4)
+                length.append(len(part) // 4)
+                crc.append(zlib.crc32(part))
+                if with_ids:
+                    ids.append(part)
+        columns = [batch.column("doc_id").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
+        return pa.RecordBatch.from_arrays(columns + [pa.array(ids, pa.binary())] * with_ids, names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(tokenizer_path)
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                row, piece, start, length, ids = [], [], [], [], []
-                for i, data in enumerate(encoder.encode(batch.column("text").to_pylist())):
-                    data += end
-                    for k, lo in enumerate(range(0, len(data), step)):
-                        part = data[lo : lo + step]
-                        row.append(i)
-                        piece.append(k)
-                        start.append(lo // 4)
-                        length.append(len(part) // 4)
-                        ids.append(part)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary())],
-                    ["doc_id", "piece", "start", "length", "ids"],
-                )
+            lo, size, texts = 0, 0, []
+            for i in range(whole.num_rows):
+                texts.append(whole.column("text")[i].as_py())
+                size += len(texts[-1])
+                if size > BYTES:
+                    yield cut(whole.slice(lo, i + 1 - lo), texts)
+                    lo, size, texts = i + 1, 0, []
+            if texts:
+                yield cut(whole.slice(lo), texts)
 
     rows = documents.select("doc_id", text_or_empty("text").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids binary")
+    return rows.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def _best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
@@ -301,11 +326,7 @@ def pack_documents(documents: DataFrame, tokenizer_path: str, p: Packing = Packi
     kept; columns other than doc_id and text are not read. Offsets are gapless from 0 in each sequence.
     """
 
-    @F.pandas_udf("long")
-    def crc(ids: pd.Series) -> pd.Series:
-        return ids.map(zlib.crc32).astype("int64")
-
-    made = pieces(documents, tokenizer_path, p).select("doc_id", "piece", "start", "length", crc("ids").alias("ids_crc32"))
+    made = pieces(documents, tokenizer_path, p)
     made = staged(made.withColumn("uid", F.monotonically_increasing_id()), "pieces")
     placed = place_pieces(made.select("uid", "length"), p)
     return made.join(placed.select("uid", "sequence_id", "offset"), "uid").drop("uid")
@@ -316,7 +337,7 @@ def sequences(documents: DataFrame, placed: DataFrame, tokenizer_path: str, p: P
 
     doc_ids must be unique here. Each sequence gathers at most ``capacity`` pieces.
     """
-    made = pieces(documents, tokenizer_path, p).select("doc_id", "piece", "ids")
+    made = pieces(documents, tokenizer_path, p, True).select("doc_id", "piece", "ids")
     rows = placed.select("doc_id", "piece", "sequence_id", "offset").join(made, ["doc_id", "piece"])
     parts = rows.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("parts"))
 
