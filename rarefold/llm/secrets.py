@@ -31,6 +31,8 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _CRC_TOKEN = re.compile(r"(?:gh[pousr]|npm)_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
 _WIF = re.compile(r"[5KL][1-9A-HJ-NP-Za-km-z]{50,51}(?![0-9A-Za-z])")
+#: A run of the characters that a token's parts are made of; no token of the run can start after its end.
+_JWT_RUN = re.compile(r"[A-Za-z0-9_-]+")
 _JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
 
 _BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
@@ -61,11 +63,12 @@ def _wif_ok(m: re.Match) -> bool:
 
 
 def _jwt_ok(m: re.Match) -> bool:
+    """Header and claims are JSON objects; one nested too deeply to be read is none."""
     try:
         for part in m[0].split(".")[:2]:
             if not isinstance(json.loads(base64.urlsafe_b64decode(part + "=" * (-len(part) % 4))), dict):
                 return False
-    except ValueError:
+    except (ValueError, RecursionError):
         return False
     return True
 
@@ -108,10 +111,17 @@ def scan(text: str) -> list[tuple[str, int, int]]:
             if start < done[kind] or exact is not None and text[start : last + 1] != exact:
                 continue
             _, _, pattern, holds = _RULES[kind]
+            if kind == "jwt":  # a keyword further on in a run that no second part follows cannot match either
+                end = _JWT_RUN.match(text, start).end()
+                if not text.startswith(".eyJ", end):
+                    done[kind] = end
+                    continue
             if m := pattern.match(text, start):
                 done[kind] = m.end()
                 if holds(m):
                     spans.append((kind, start, m.end()))
+            elif kind == "jwt":  # nor can one whose second part has no third
+                done[kind] = end
     spans += [("hex", m.start(), m.end()) for m in _HEX.finditer(text)]
     for m in _WIF.finditer(text):
         if (m.start() == 0 or not text[m.start() - 1].isalnum()) and _wif_ok(m):

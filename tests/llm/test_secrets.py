@@ -61,3 +61,24 @@ def test_redaction(spark, awkward):
     assert rows[2].text is None and rows[2].n_chars == 7 and rows[3].n_chars == 99
     assert S.redact_documents(awkward).columns == awkward.columns
     assert all(not S.scan(r.text or "") for r in S.redact_documents(awkward).collect())
+
+
+def test_nested_and_dotless_tokens():
+    import base64
+    import time
+
+    from rarefold.llm.secrets import scan
+
+    part = lambda b: base64.urlsafe_b64encode(b).decode().rstrip("=")
+    good = part(b'{"alg":"x"}')
+    deep = part(b'{"a":' + b"[" * 500_000 + b"]" * 500_000 + b"}")
+    t = time.time()
+    assert deep.startswith("eyJ") and not [x for x in scan(f"{deep}.{good}.abc") if x[0] == "jwt"]
+    assert not [x for x in scan("eyJ" * 400_000) if x[0] == "jwt"]
+    assert not [x for x in scan("eyJ" * 200_000 + "." + "eyJ" * 200_000) if x[0] == "jwt"]
+    assert not [x for x in scan("a" * 1_000_000 + "0" * 20) if x[0] == "jwt"]
+    assert time.time() - t < 20
+    late = "eyJ" * 50 + f" {good}.{good}.sig"
+    assert [x for x in scan(late) if x[0] == "jwt"] == [("jwt", 151, len(late))]
+    inner = f"xx{good}.{good}.s {good}.{good}.t"
+    assert len([x for x in scan(inner) if x[0] == "jwt"]) == 2
