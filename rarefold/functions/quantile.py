@@ -8,7 +8,8 @@ aggregation buffer. Here the work stays distributed:
    more cut intervals gets a bucket to itself); per (column, bucket) counts
    come back to the driver (columns x buckets rows);
 3. only the bucket holding each wanted order statistic is scanned again,
-   grouped to distinct values and ranked inside that bucket.
+   grouped to distinct values and ranked inside that bucket, if it has at most ``SMALL`` rows;
+4. a larger bucket is cut again in the same way, until it is small or holds one value.
 """
 
 from __future__ import annotations
@@ -37,6 +38,36 @@ def _splits(cuts) -> list[float]:
     return splits if len(splits) > 2 else [-math.inf, 0.0, math.inf]
 
 
+#: Rows of a bucket that one task may rank.
+SMALL = 1_000_000
+#: Cuts of a bucket that is larger.
+FINER = 200
+
+
+def _order_statistic(values: DataFrame, rank: int) -> float:
+    """The value of 0-based ``rank`` among the rows of ``values`` (v, no nulls), by narrowing its bucket.
+
+    Every pass leaves about 1 / ``FINER`` of the rows; a value that fills two cut intervals or more is a bucket of its own and
+    ends the search. At most 2 ``FINER`` counts reach the driver.
+    """
+    probs = [i / FINER for i in range(1, FINER)]
+    while True:
+        s = values.agg(F.count("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"), F.percentile_approx("v", probs, 50 * FINER).alias("cuts")).first()
+        if s["low"] == s["high"]:
+            return s["low"]
+        if s["n"] <= SMALL:
+            w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)  # at most SMALL values
+            ranked = values.groupBy("v").count().withColumn("upto", F.sum("count").over(w))
+            return ranked.where(F.col("upto") > rank).agg(F.min("v")).first()[0]
+        bucketed = Bucketizer(splits=_splits(s["cuts"]), inputCol="v", outputCol="b").transform(values)
+        before = 0
+        for b, n in sorted((x["b"], x["count"]) for x in bucketed.groupBy("b").count().collect()):
+            if rank < before + n:
+                break
+            before += n
+        values, rank = bucketed.where(F.col("b") == b).select("v"), rank - before
+
+
 def exact_quantiles(df: DataFrame, cols: Sequence[str], q: float = 0.5, n_buckets: int | None = None) -> dict[str, float | None]:
     cols = list(cols)
     if not cols:
@@ -68,7 +99,7 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], q: float = 0.5, n_bucket
     for r in counts:
         per.setdefault(r["k"], []).append((r["b"], r["count"]))
     targets = []  # (k, b, local 0-based rank, tag)
-    need = {}
+    got, need = {}, {}
     for i in range(len(cols)):
         n = stats[f"n{i}"]
         if not n:
@@ -79,20 +110,15 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], q: float = 0.5, n_bucket
         off = 0
         for b, c in sorted(per.get(i, [])):
             for tag, k in (("lo", k1), ("hi", k2)):
-                if off <= k < off + c:
+                if off <= k < off + c <= off + SMALL:
                     targets.append((i, b, k - off, tag))
+                elif off <= k < off + c:
+                    got[i, tag] = got[i, "lo"] if tag == "hi" and k2 == k1 else _order_statistic(long.where((F.col("k") == i) & (F.col("b") == b)).select("v"), k - off)
             off += c
-    if not targets:
+    if not need:
         return {c: None for c in cols}
-    spark = df.sparkSession
-    tdf = spark.createDataFrame(targets, "k int, b int, r long, tag string")
-    keys = spark.createDataFrame(sorted({(t[0], t[1]) for t in targets}), "k int, b int")
-    # at most two (column, bucket) pairs per column: bounded broadcast
-    sub = long.join(F.broadcast(keys), ["k", "b"]).groupBy("k", "b", "v").count()
-    w = Window.partitionBy("k", "b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = sub.withColumn("cum", F.sum("count").over(w))
-    hit = ranked.join(F.broadcast(tdf), ["k", "b"]).where((F.col("cum") - F.col("count") <= F.col("r")) & (F.col("r") < F.col("cum")))
-    got = {(r["k"], r["tag"]): r["v"] for r in hit.select("k", "tag", "v").collect()}
+    if targets:
+        got |= _ranked(df.sparkSession, long, targets)
     out: dict[str, float | None] = {}
     for i, c in enumerate(cols):
         if i not in need:
@@ -102,3 +128,15 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], q: float = 0.5, n_bucket
         lo, hi = got[(i, "lo")], got[(i, "hi")]
         out[c] = lo + (h - k1) * (hi - lo)
     return out
+
+
+def _ranked(spark, long: DataFrame, targets: list[tuple]) -> dict[tuple[int, str], float]:
+    """(column, tag) -> value for targets in small buckets, each ranked in one task."""
+    tdf = spark.createDataFrame(targets, "k int, b int, r long, tag string")
+    keys = spark.createDataFrame(sorted({(t[0], t[1]) for t in targets}), "k int, b int")
+    # at most two (column, bucket) pairs per column: bounded broadcast
+    sub = long.join(F.broadcast(keys), ["k", "b"]).groupBy("k", "b", "v").count()
+    w = Window.partitionBy("k", "b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = sub.withColumn("cum", F.sum("count").over(w))
+    hit = ranked.join(F.broadcast(tdf), ["k", "b"]).where((F.col("cum") - F.col("count") <= F.col("r")) & (F.col("r") < F.col("cum")))
+    return {(r["k"], r["tag"]): r["v"] for r in hit.select("k", "tag", "v").collect()}
