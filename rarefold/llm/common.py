@@ -64,7 +64,8 @@ class BitFilter:
         return maybe(h)
 
 
-def _filter_for(keys: DataFrame) -> BitFilter:
+def filter_for(keys: DataFrame) -> BitFilter:
+    """A filter for the texts whose keys (column tkey) are given, sized by their number."""
     return BitFilter(keys.select(F.xxhash64("tkey")), min(FILTER_BITS, max(12, (16 * max(1, keys.count())).bit_length())))
 
 
@@ -75,14 +76,14 @@ def texts_of(documents: DataFrame, keys: DataFrame) -> DataFrame:
     one before it too.
     """
     text = documents.select(text_key("text").alias("tkey"), text_or_empty("text").alias("text"))
-    near = text.where(_filter_for(keys).column(F.xxhash64("tkey"))).dropDuplicates(["tkey"])
+    near = text.where(filter_for(keys).column(F.xxhash64("tkey"))).dropDuplicates(["tkey"])
     return near.join(keys, "tkey")
 
 
 def without_texts(documents: DataFrame, keys: DataFrame) -> DataFrame:
     """Rows of ``documents`` whose text is not among ``keys`` (column tkey); only doubtful rows are shuffled."""
     keyed = documents.withColumn("__tkey", text_key("text"))
-    maybe = _filter_for(keys).column(F.xxhash64("__tkey"))
+    maybe = filter_for(keys).column(F.xxhash64("__tkey"))
     doubt = keyed.where(maybe).join(keys.select(F.col("tkey").alias("__tkey")), "__tkey", "left_anti")
     return keyed.where(~maybe).unionByName(doubt).drop("__tkey")
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rarefold.llm.common import shuffle_partitions, staged, text_key, text_or_empty, texts_of
+from rarefold.llm.common import filter_for, shuffle_partitions, staged, text_key, text_or_empty, texts_of
 
 
 @dataclass(frozen=True)
@@ -380,12 +380,21 @@ def remove_repeats(documents: DataFrame, p: LongRepeats = LongRepeats()) -> Data
 
 
 def digest(documents: DataFrame, p: LongRepeats = LongRepeats()) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of ``documents``."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text for every row of ``documents``.
+
+    ``kept_text`` is what is left, as text; a character of which only some bytes are left shows as the replacement
+    character. Rows whose text is surely without repeats, by a bit filter over the cut texts, are not shuffled.
+    """
     size = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["hi"] - s["lo"])
-    cut = remove_repeats(documents, p).select("tkey", size.alias("removed"), F.size("spans").cast("long").alias("runs"), F.sha2("kept", 256).alias("left"))
+    cut = remove_repeats(documents, p).select("tkey", size.alias("removed"), F.size("spans").cast("long").alias("runs"), "kept")
+    cut = staged(cut, "kept")
     text = text_or_empty("text")
-    whole = documents.select("doc_id", text_key("text").alias("tkey"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("whole"))
+    whole = documents.select("doc_id", text_key("text").alias("tkey"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
+    maybe = filter_for(cut.select("tkey")).column(F.xxhash64("tkey"))
     zero = F.lit(0).cast("long")
-    return whole.join(cut, "tkey", "left").select(
-        "doc_id", "n_bytes", F.coalesce("removed", zero).alias("n_removed"), F.coalesce("runs", zero).alias("n_spans"), F.coalesce("left", "whole").alias("kept_sha256")
+    clean = whole.where(~maybe).select("doc_id", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"), F.col("text").alias("kept_text"))
+    left = F.coalesce("kept", F.col("text").cast("binary"))
+    doubt = whole.where(maybe).join(cut, "tkey", "left").select(
+        "doc_id", "n_bytes", F.coalesce("removed", zero).alias("n_removed"), F.coalesce("runs", zero).alias("n_spans"), F.sha2(left, 256).alias("kept_sha256"), F.when(F.col("kept").isNull(), F.col("text")).otherwise(F.make_valid_utf8(F.col("kept").cast("string"))).alias("kept_text")
     )
+    return clean.unionByName(doubt)

@@ -76,3 +76,14 @@ def test_overfull_groups_are_split(spark, awkward):
 def test_empty(empty, spark):
     assert digest(empty).count() == 0
     check(spark.createDataFrame([(1, None, "", "", 0, 0), (2, "", "", "", 0, 0)], empty.schema), LongRepeats())
+
+
+def test_kept_text(spark):
+    long = "".join(f"w{i} " for i in range(200))
+    docs = spark.createDataFrame([(1, f"head é {long} tail"), (2, f"other {long}end"), (3, "alone"), (4, None), (5, "é" * 250), (6, "x" + "é" * 249)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in digest(docs).collect()}
+    assert rows[3].kept_text == "alone" and rows[4].kept_text == "" and rows[3].n_removed == 0
+    assert "w100" not in rows[1].kept_text + rows[2].kept_text and rows[1].kept_text.startswith("head é")
+    for r in rows.values():
+        if r.n_removed == 0 or "\ufffd" not in r.kept_text:
+            assert hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256
