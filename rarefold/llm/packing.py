@@ -35,7 +35,7 @@ class Packing:
 
 
 #: Bytes of word encodings that a worker remembers, in two memories; beyond it they start anew. Longer chunks are not remembered.
-REMEMBERED_BYTES, REMEMBERED_LENGTH = 40 << 20, 64
+REMEMBERED_BYTES, REMEMBERED_LENGTH = 400 << 20, 64
 #: Bytes of text that are encoded at a time; a longer text is encoded alone.
 BYTES = 1 << 20
 
@@ -81,7 +81,7 @@ class WordEncoder(dict):
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
     def _learn(self, new: set[str]) -> dict[str, bytes]:
-        """The encodings of ``new``; those of short chunks are remembered too."""
+        """Remembers the encodings of short chunks of ``new`` and returns those of the others."""
         other, made = [], {}
         for c in new:
             word = c.rstrip(_ENDINGS)
@@ -93,9 +93,10 @@ class WordEncoder(dict):
         for at in range(0, len(other), 4096):
             part = other[at : at + 4096]
             made.update(zip(part, self._whole(part), strict=True))
-        for c, ids in made.items():
-            self._keep(self, c, ids)
-        return made
+        short = {c: ids for c, ids in made.items() if len(c) <= REMEMBERED_LENGTH}
+        self.update(short)
+        self.held += 240 * len(short) + sum(map(len, short)) + sum(map(len, short.values()))
+        return {c: ids for c, ids in made.items() if len(c) > REMEMBERED_LENGTH} if len(short) < len(made) else {}
 
     def _marks(self, marks: str) -> bytes:
         ids = self.words.get(marks)
@@ -110,10 +111,10 @@ class WordEncoder(dict):
             self.clear()
             self.words.clear()
             self.held = 0
-        made = self._learn({c for own in chunks for c in own if c not in self})
-        if all(len(c) <= REMEMBERED_LENGTH for c in made):
+        long = self._learn({c for own in chunks for c in own if c not in self})
+        if not long:
             return [b"".join(map(self.__getitem__, own)) for own in chunks]
-        return [b"".join([made.get(c) or self.get(c, b"") for c in own]) for own in chunks]
+        return [b"".join([self[c] if c in self else long[c] for c in own]) for own in chunks]
 
 
 @cache
