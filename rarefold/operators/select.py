@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rarefold.functions.rng import uniform
+from rarefold.operators.metrics import ranking_metrics, threshold_metrics
 
 log = logging.getLogger(__name__)
 
@@ -63,6 +64,18 @@ def observation(features: DataFrame, state: DataFrame, id_col: str, obs_col: str
     return j.withColumn("observation", F.concat(F.col(obs_col), F.array(F.col("progress").cast("float"), F.col("ratio").cast("float"))))
 
 
+def reward_metric(scored: DataFrame, target: str, score: str, name: str = "average_precision") -> float:
+    """The figure that a reward compares: ``average_precision`` of the scores, or ``f1`` of the labels at 0.5 (0 if undefined).
+
+    Any other name is an error.
+    """
+    if name == "average_precision":
+        return ranking_metrics(scored, target, score, fpr_targets=()).first()["auc_pr"]
+    if name == "f1":
+        return threshold_metrics(scored, target, score).first()["f1"] or 0.0
+    raise ValueError(f"unknown reward metric: {name}")
+
+
 def reward_formula(raw: F.Column, baseline: F.Column, n_kept: F.Column, normalize: bool = True) -> tuple[F.Column, F.Column]:
     """R6 rule: reward = raw - baseline (divided by max(|baseline|, 1e-6)); nothing kept -> (0, baseline)."""
     r = raw - baseline

@@ -1,10 +1,11 @@
 """Synthetic minority rows (G1-G10), re-aimed from a neural generator to Spark jobs.
 
-* G2/G3: per class, ``GaussianMixture`` on the standardised numeric vector and
-  per (class, component, column) category frequencies from hard assignments.
+* G2/G3: per class, ``GaussianMixture`` on the standardised numeric vector and,
+  from hard assignments, joint category counts along the tree of column pairs with
+  the most mutual information given the component.
 * G4/G6/G7: rows drawn from ``spark.range`` with portable hashes: component by
   Gumbel-max over the few weights, numeric = mean + Cholesky * normal noise,
-  categories by inverse-CDF draws joined on a guide table of the component's counts.
+  categories from the tree's root down, by inverse-CDF draws joined on guide tables.
 * G8: a column-independent baseline (inverse empirical CDF per numeric column).
 * G9/G10: realism as a real-vs-synthetic classifier margin; a joint PCA.
 
@@ -29,7 +30,7 @@ from rarefold.functions.prefix import global_row_number, null_safe_join, running
 from rarefold.functions.rng import TWO48, uniform
 from rarefold.operators.join import stack_with_origin
 from rarefold.operators.oversample import SYNTHETIC_FLAG
-from rarefold.session import staged
+from rarefold.session import cut_lineage, staged
 
 # Reference sampling settings (fixed values)
 TARGET_CLASS = 1
@@ -98,13 +99,13 @@ def draw_table(counts: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
     return t.select(*g, "value", "lo", "hi", "total", "cells", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi") - 1))).alias("cell"))
 
 
-def draw_categories(rows: DataFrame, table: DataFrame, feature: str, u: Column, group_cols: Sequence[str] = ()) -> DataFrame:
+def draw_categories(rows: DataFrame, table: DataFrame, feature: str, u: Column, group_cols: Sequence[str] = (), few_groups: bool = True) -> DataFrame:
     """``rows`` plus column ``feature``: the category at integer floor(u * total) of its group. One join, by cell."""
     names = {c: f"__{c}" for c in ("cell", "lo", "hi", "total", "cells")} | {"value": feature}
     t = table.where(F.col("feature") == feature).select(*group_cols, *[F.col(c).alias(n) for c, n in names.items()])
     sizes = t.select(*group_cols, "__total", "__cells").distinct()
     if group_cols:
-        sized = rows.join(F.broadcast(sizes), list(group_cols))  # one row per group, as many as mixture components
+        sized = rows.join(F.broadcast(sizes) if few_groups else sizes, list(group_cols))  # few: as many as mixture components
     else:
         r = sizes.first()
         sized = rows.withColumns({"__total": F.lit(r["__total"] if r else 1), "__cells": F.lit(r["__cells"] if r else 1)})
@@ -114,6 +115,107 @@ def draw_categories(rows: DataFrame, table: DataFrame, feature: str, u: Column,
     return hit.drop("__lo", "__hi", "__cell", "__i")
 
 
+# ---------------------------------------------------------------- joint categories
+def pair_counts(df: DataFrame, cat_cols: Sequence[str], group_cols: Sequence[str] = ()) -> DataFrame:
+    """(group..., first_feature, first_value, second_feature, second_value, n): counts of value pairs of every two columns, one pass."""
+    text = lambda c: F.col(c).cast("string")
+    pairs = [
+        F.struct(F.lit(a).alias("first_feature"), text(a).alias("first_value"), F.lit(b).alias("second_feature"), text(b).alias("second_value"))
+        for i, a in enumerate(cat_cols)
+        for b in cat_cols[i + 1 :]
+    ]
+    long = df.select(*group_cols, F.explode(F.array(*pairs)).alias("r")).select(*group_cols, "r.*")
+    return long.groupBy(*group_cols, "first_feature", "first_value", "second_feature", "second_value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def mutual_information(pairs: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
+    """(first_feature, second_feature, information): mutual information in nats given the group, from ``pair_counts``."""
+    both = [*group_cols, "first_feature", "second_feature"]
+    out = pairs
+    for keys, name in (([*both, "first_value"], "__first"), ([*both, "second_value"], "__second"), (both, "__all")):
+        out = null_safe_join(out, pairs.groupBy(*keys).agg(F.sum("n").cast("double").alias(name)), keys)
+    term = F.col("n") * F.log(F.col("n").cast("double") * F.col("__all") / (F.col("__first") * F.col("__second")))
+    return out.groupBy("first_feature", "second_feature").agg((F.sum(term) / F.sum("n")).alias("information"))
+
+
+def spanning_tree(information: DataFrame, cat_cols: Sequence[str]) -> list[tuple[str, str | None]]:
+    """(column, parent) in drawing order: the spanning tree with the most information, from the first column down.
+
+    Equal information (to 9 digits) goes to the pair that comes first in column order. One row a pair of columns reaches the driver.
+    """
+    at = {c: i for i, c in enumerate(cat_cols)}
+    rows = sorted(information.collect(), key=lambda r: (-round(r["information"], 9), at[r["first_feature"]], at[r["second_feature"]]))
+    tree: list[tuple[str, str | None]] = [(cat_cols[0], None)]
+    inside = {cat_cols[0]}
+    while len(inside) < len(cat_cols):
+        edges = [(r["first_feature"], r["second_feature"]) for r in rows if (r["first_feature"] in inside) != (r["second_feature"] in inside)]
+        if edges:
+            parent, child = edges[0] if edges[0][0] in inside else edges[0][::-1]
+        else:  # no rows were counted
+            parent, child = cat_cols[0], next(c for c in cat_cols if c not in inside)
+        tree.append((child, parent))
+        inside.add(child)
+    return tree
+
+
+def information_tree(pairs: DataFrame, cat_cols: Sequence[str], group_cols: Sequence[str] = ()) -> DataFrame:
+    """(first_feature, second_feature, information, in_tree) for every pair of columns."""
+    info = cut_lineage(mutual_information(pairs, group_cols))
+    chosen = F.lit(False)
+    for child, parent in spanning_tree(info, cat_cols)[1:]:
+        ends = F.array(F.col("first_feature"), F.col("second_feature"))
+        chosen = chosen | (F.array_contains(ends, child) & F.array_contains(ends, parent))
+    return info.withColumn("in_tree", chosen)
+
+
+def _given(parent: str) -> Column:
+    """The parent's value as a join key that is never null."""
+    return F.when(F.col(parent).isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), F.col(parent)))
+
+
+@dataclass
+class JointCategories:
+    """Draw tables along a dependency tree: the root by group, every other column by group and its parent's value."""
+
+    tree: list[tuple[str, str | None]]
+    tables: dict[str, DataFrame]
+    group_cols: list[str]
+
+    def draw(self, rows: DataFrame, seed, salt: str, id_col: str) -> DataFrame:
+        """``rows`` with a value of every column, drawn by the hash of seed, salt, column and row id."""
+        for child, parent in self.tree:
+            u = uniform(seed, f"{salt}-{child}", id_col)
+            if parent is None:
+                rows = draw_categories(rows, self.tables[child], child, u, self.group_cols)
+            else:
+                keyed = rows.withColumn("__given", _given(parent))
+                rows = draw_categories(keyed, self.tables[child], child, u, [*self.group_cols, "__given"], few_groups=False).drop("__given")
+        return rows
+
+
+def fit_joint(counts: DataFrame, pairs: DataFrame, cat_cols: Sequence[str], group_cols: Sequence[str] = ()) -> JointCategories:
+    """Dependency tree and its draw tables from ``category_counts`` and ``pair_counts`` (of the same rows and groups)."""
+    g = list(group_cols)
+    tree = spanning_tree(mutual_information(pairs, g), cat_cols) if len(cat_cols) > 1 else [(cat_cols[0], None)]
+    tables = {}
+    for child, parent in tree:
+        if parent is None:
+            tables[child] = staged(draw_table(counts.where(F.col("feature") == child), g), "draws")
+            continue
+        near, far = ("first", "second") if list(cat_cols).index(parent) < list(cat_cols).index(child) else ("second", "first")
+        own = pairs.where((F.col(f"{near}_feature") == parent) & (F.col(f"{far}_feature") == child))
+        own = own.select(*g, _given(f"{near}_value").alias("__given"), F.lit(child).alias("feature"), F.col(f"{far}_value").alias("value"), "n")
+        tables[child] = staged(draw_table(own, [*g, "__given"]), "draws")
+    return JointCategories(tree, tables, g)
+
+
+def joint_sample(df: DataFrame, cat_cols: Sequence[str], n: int, seed: int = 42) -> DataFrame:
+    """n rows of categories with the pair frequencies of ``df`` along its dependency tree."""
+    model = fit_joint(category_counts(df, cat_cols), staged(pair_counts(df, cat_cols), "pairs"), cat_cols)
+    rows = df.sparkSession.range(n).withColumnRenamed("id", "synthetic_id")
+    return model.draw(rows, seed, "joint", "synthetic_id").select("synthetic_id", *cat_cols)
+
+
 # ---------------------------------------------------------------- G8 marginal sampler
 def marginal_sample(minority: DataFrame, id_col: str, num_cols: Sequence[str], cat_cols: Sequence[str], n: int, seed: int = 42) -> DataFrame:
     """N rows, columns independent. Numeric: the value at rank floor(u * n_c) of the column's sorted non-null values (ties
@@ -146,7 +248,7 @@ class MixtureSampler:
     weights: dict[int, list[float]]  # class -> component weights
     mus: dict[int, list[list[float]]]
     chols: dict[int, list[list[list[float]]]]
-    cats: dict[int, DataFrame]  # class -> draw table by component, written to the shared folder
+    cats: dict[int, JointCategories]  # class -> draw tables by component, written to the shared folder
     trace: list[tuple]
 
     def history(self, spark) -> DataFrame:
@@ -170,15 +272,15 @@ class MixtureSampler:
                 x = x + lij * zs[j]
             cols.append((x * F.lit(float(self.stds[c])) + F.lit(float(self.means[c]))).alias(c))
         out = rows.select("synthetic_id", "__comp", *cols)
-        for c in self.cat_cols:
-            out = draw_categories(out, self.cats[target_class], c, uniform(seed, f"cat-{c}", "synthetic_id"), ["__comp"])
+        if self.cat_cols:
+            out = self.cats[target_class].draw(out, seed, "cat", "synthetic_id")
         return out.select("synthetic_id", *self.num_cols, *self.cat_cols, F.lit(target_class).alias(target), F.lit(True).alias(SYNTHETIC_FLAG))
 
 
 def fit_mixture(train: DataFrame, target: str, num_cols: Sequence[str], cat_cols: Sequence[str] = (), k: int = 3, seed: int = 42, max_iter: int = 100, ridge: float = 1e-6) -> MixtureSampler:
     """Per class, a k-component Gaussian mixture on standardised numeric
-    columns (zero-variance columns keep a tiny ridge) and category frequencies
-    per hard-assigned component."""
+    columns (zero-variance columns keep a tiny ridge) and joint category frequencies
+    per hard-assigned component, along one dependency tree a class."""
     num_cols, cat_cols = list(num_cols), list(cat_cols)
     st = train.agg(*[F.avg(c).alias(f"m_{c}") for c in num_cols], *[F.stddev_pop(c).alias(f"s_{c}") for c in num_cols]).first()
     means = {c: st[f"m_{c}"] or 0.0 for c in num_cols}
@@ -210,30 +312,70 @@ def fit_mixture(train: DataFrame, target: str, num_cols: Sequence[str], cat_cols
         chols[cls] = ch
         trace.append((int(cls), kk, float(m.summary.logLikelihood), int(m.summary.numIter)))
         if cat_cols:
-            counts = category_counts(m.transform(part), cat_cols, ["__comp"])
+            assigned = staged(m.transform(part).select("__comp", *cat_cols), "assigned")
             # a component that no row is assigned to draws from the whole class
-            used = {r["__comp"] for r in counts.select("__comp").distinct().collect()}
-            spare = [i for i in range(kk) if i not in used]
-            if spare:
-                whole = category_counts(part, cat_cols).withColumn("__comp", F.explode(F.array(*[F.lit(i) for i in spare])))
-                counts = counts.unionByName(whole.select(*counts.columns))
-            cats[cls] = staged(draw_table(counts, ["__comp"]), "draws")
+            used = {r["__comp"] for r in assigned.select("__comp").distinct().collect()}
+            rows = assigned.withColumn("__comp", F.explode(F.array(F.col("__comp"), *[F.lit(i) for i in range(kk) if i not in used]))) if len(used) < kk else assigned
+            counts = category_counts(rows, cat_cols, ["__comp"])
+            cats[cls] = fit_joint(counts, staged(pair_counts(rows, cat_cols, ["__comp"]), "pairs") if len(cat_cols) > 1 else counts, cat_cols, ["__comp"])
     return MixtureSampler(num_cols, cat_cols, means, stds, weights, mus, chols, cats, trace)
 
 
 # ---------------------------------------------------------------- G9 / G10
-def realism_score(real: DataFrame, synthetic: DataFrame, num_cols: Sequence[str], out: str = "realism") -> DataFrame:
+def realism_score(
+    real: DataFrame,
+    synthetic: DataFrame,
+    num_cols: Sequence[str],
+    cat_cols: Sequence[str] = (),
+    target: str | None = None,
+    out: str = "realism",
+    folds: int = 2,
+    buckets: int = 1 << 12,
+    seed: int = 42,
+) -> DataFrame:
     """Classifier two-sample test. A logistic regression separates real (1)
-    from synthetic (0) rows; each row's margin is its realism score. The AUC
-    of this score over the stack is the fidelity figure (0.5 = indistinguishable)."""
-    from pyspark.ml.classification import LogisticRegression
+    from synthetic (0) rows by numbers, hashed category indicators and, given ``target``, both crossed with the class; each
+    row's margin is its realism score. The AUC of this score over the stack is the fidelity figure (0.5 = indistinguishable).
 
-    stack = stack_with_origin(real, synthetic, list(num_cols)).withColumn("__real", (F.col("origin") == "real").cast("double"))
-    va = VectorAssembler(inputCols=list(num_cols), outputCol="__f", handleInvalid="keep")
-    vec = va.transform(stack)
-    lr = LogisticRegression(featuresCol="__f", labelCol="__real", maxIter=50, standardization=True).fit(vec)
-    scored = lr.transform(vec)
-    return scored.select(*num_cols, "origin", vector_to_array("rawPrediction")[1].alias(out))
+    Rows are dealt to ``folds`` by a hash of their values, equal rows together, and scored by the model of the other folds, so no
+    row is scored by a model that saw it. A null number counts as the column's mean, a null category as one of its own. With rows of
+    one origin only, margins are infinite or undefined: both tables must have rows.
+    """
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import FeatureHasher
+
+    nums, cats = list(num_cols), list(cat_cols)
+    own = [*nums, *cats, *([target] if target else [])]
+    means = real.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in nums]).first().asDict() if nums else {}
+    x = {c: F.coalesce(F.col(c).cast("double"), F.lit(float(means[c] or 0.0))) for c in nums}
+    text = {c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null")) for c in cats}
+    if target:
+        cls = F.coalesce(F.col(target).cast("string"), F.lit("null"))
+        # numbers given the class enter through the indicator of a fixed class: the first one in order
+        first = real.select(cls.alias("c")).agg(F.min("c")).first()[0]
+        x |= {f"__{c}_given": F.when(cls == F.lit(first), v).otherwise(0.0) for c, v in list(x.items())}
+        text |= {f"__{c}_given": F.concat(cls, F.lit("|"), v) for c, v in list(text.items())} | {"__class": cls}
+    place = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit("realism"), *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in own])), 1, 8), 16, 10)
+    stack = stack_with_origin(real, synthetic, own).select(
+        *own,
+        "origin",
+        (F.col("origin") == "real").cast("double").alias("__real"),
+        F.pmod(place.cast("long"), F.lit(folds)).cast("int").alias("__fold"),
+        F.array(*x.values()).cast("array<double>").alias("__x"),
+        *[v.alias(f"__h{i}") for i, v in enumerate(text.values())],
+    )
+    stack = staged(stack, "stack").withColumn("__n", array_to_vector("__x"))
+    inputs = ["__n"] if x else []
+    if text:
+        stack = FeatureHasher(inputCols=[f"__h{i}" for i in range(len(text))], outputCol="__h", numFeatures=buckets).transform(stack)
+        inputs.append("__h")
+    vec = VectorAssembler(inputCols=inputs, outputCol="__f").transform(stack)
+    lr = LogisticRegression(featuresCol="__f", labelCol="__real", maxIter=50, standardization=True, regParam=1e-6)
+    parts = [lr.fit(vec.where(F.col("__fold") != i)).transform(vec.where(F.col("__fold") == i)) for i in range(folds)]
+    scored = [p.select(*own, "origin", vector_to_array("rawPrediction")[1].alias(out)) for p in parts]
+    for p in scored[1:]:
+        scored[0] = scored[0].unionByName(p)
+    return scored[0]
 
 
 def pca_projection(real: DataFrame, synthetic: DataFrame, num_cols: Sequence[str]) -> DataFrame:

@@ -9,6 +9,7 @@ from rarefold.operators import metrics as M
 from rarefold.operators import synth as G
 from rarefold.plans.q_oversample import SQL_SM, smote_input
 from rarefold.plans.registry import register, rounded
+from rarefold.plans.tables import table
 
 SEED = 42
 NUM, CAT = ["value", "uid"], ["c2"]
@@ -87,7 +88,7 @@ def q_mixture_trace(spark, d):
 @register("realism_score")
 def q_realism(spark, d):
     syn = _mixture(spark, d).sample(spark, _pool(spark, d), "y", 1, SEED)
-    sc = G.realism_score(_minority(spark, d), syn, NUM).withColumn("is_real", (F.col("origin") == "real").cast("int"))
+    sc = G.realism_score(_minority(spark, d), syn, NUM, CAT, "y").withColumn("is_real", (F.col("origin") == "real").cast("int"))
     return rounded(M.ranking_metrics(sc, "is_real", "realism", fpr_targets=()).select(F.col("auc_roc").alias("fidelity_auc")))
 
 
@@ -95,3 +96,65 @@ def q_realism(spark, d):
 def q_pca(spark, d):
     syn = _mixture(spark, d).sample(spark, _pool(spark, d), "y", 1, SEED)
     return rounded(G.pca_projection(_minority(spark, d), syn, NUM))
+
+
+# ---------------------------------------------------------------- joint categories of the order lines
+LINE = ["returnflag", "linestatus", "linenumber", "ship_year"]
+_LINES = """t as (select l_returnflag as returnflag, l_linestatus as linestatus, cast(l_linenumber as varchar) as linenumber,
+  cast(year(l_shipdate) as varchar) as ship_year from lineitem)"""
+_PAIRS = ", pc as (" + " union all ".join(
+    f"select '{a}' as first_feature, {a} as first_value, '{b}' as second_feature, {b} as second_value, count(*) as n from t group by {a}, {b}"
+    for i, a in enumerate(LINE)
+    for b in LINE[i + 1 :]
+) + ")"
+
+
+def _lines(spark, d):
+    line = table(spark, d, "lineitem")
+    return line.select(
+        F.col("l_returnflag").alias("returnflag"), F.col("l_linestatus").alias("linestatus"), F.col("l_linenumber").cast("string").alias("linenumber"), F.year("l_shipdate").cast("string").alias("ship_year")
+    )
+
+
+@register("category_pair_counts", f"with {_LINES} {_PAIRS} select * from pc")
+def q_pair_counts(spark, d):
+    return G.pair_counts(_lines(spark, d), LINE)
+
+
+# an edge is in the tree if no heavier edges join its ends
+@register(
+    "category_tree",
+    f"""with recursive {_LINES} {_PAIRS},
+a as (select first_feature, second_feature, first_value, sum(n)::double as na from pc group by all),
+b as (select first_feature, second_feature, second_value, sum(n)::double as nb from pc group by all),
+c as (select first_feature, second_feature, sum(n)::double as total from pc group by all),
+mi as (select first_feature, second_feature, sum(n * ln(n::double * total / (na * nb))) / sum(n) as information
+  from pc join a using (first_feature, second_feature, first_value) join b using (first_feature, second_feature, second_value) join c using (first_feature, second_feature)
+  group by all),
+pos(f, i) as (values {', '.join(f"('{c}', {i})" for i, c in enumerate(LINE))}),
+e as (select mi.*, row_number() over (order by round(information, 9) desc, p.i, q.i) as rk from mi join pos p on p.f = first_feature join pos q on q.f = second_feature),
+reach as (select rk, first_feature as node from e union
+  select reach.rk, case when e.first_feature = reach.node then e.second_feature else e.first_feature end
+  from reach join e on e.rk < reach.rk and (reach.node = e.first_feature or reach.node = e.second_feature))
+select first_feature, second_feature, round(information, 6) as information, rk not in (select reach.rk from reach join e f on f.rk = reach.rk and f.second_feature = reach.node) as in_tree from e""",
+)
+def q_category_tree(spark, d):
+    return rounded(G.information_tree(G.pair_counts(_lines(spark, d), LINE), LINE))
+
+
+def _draw(name, group, value):
+    return f"""{name} as (select {group} as g, {value} as value, sum(count(*)) over (partition by {group} order by {value}) - count(*) as lo,
+  sum(count(*)) over (partition by {group} order by {value}) as hi, sum(count(*)) over (partition by {group}) as total from t group by {', '.join(dict.fromkeys(c for c in (group, value) if c != '1'))})"""
+
+
+@register(
+    "joint_category_draw",
+    f"""with {_LINES}, {_draw('root', '1', 'returnflag')}, {_draw('child', 'returnflag', 'linestatus')},
+ids as (select unnest(range((select count(*) from orders))) as j),
+us as (select j, {sql_uniform(SEED, 'joint-returnflag', 'j')} as u, {sql_uniform(SEED, 'joint-linestatus', 'j')} as v from ids)
+select j as synthetic_id, root.value as returnflag, child.value as linestatus from us
+join root on floor(u * root.total) >= root.lo and floor(u * root.total) < root.hi
+join child on child.g = root.value and floor(v * child.total) >= child.lo and floor(v * child.total) < child.hi""",
+)
+def q_joint_draw(spark, d):
+    return G.joint_sample(_lines(spark, d), LINE[:2], table(spark, d, "orders").count(), SEED)
