@@ -104,6 +104,10 @@ def sql_weight(h: str, b: str) -> str:
     return f"(select count(*) from (values {', '.join(f'({c})' for c in POISSON_CUTS)}) cuts(c) where c <= {x})"
 
 
+#: rows that one group of the bootstrap holds
+RUN_ROWS = 8192
+
+
 def _replicate_sums(pdf: pd.DataFrame, n_bootstrap: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(replicates, running weights of positives, running weights of all) of a run of rows, a few replicates at a time."""
     h, y = pdf["h"].to_numpy(np.int64), pdf["y"].to_numpy(np.int64)
@@ -127,21 +131,25 @@ def bootstrap_metrics(
     """(b, auc_roc, auc_pr, recall_at_fpr_*, precision, recall, f1, mcc) for each replicate.
 
     Poisson bootstrap: each row counts Poisson(1) times in each replicate, independently, which is the limit of drawing n rows
-    with replacement. Weights are computed in place from a hash of the id; rows are range-partitioned by (score, hash) once, each
-    range gives one running total per replicate, and no (replicate, row) table exists. Equal scores that lie in several
-    ranges are put together at the end. A replicate without one of the classes has null ranking metrics.
+    with replacement. Weights are computed in place from a hash of the id; rows are range-partitioned by (score, hash) once and each
+    range is cut into runs of RUN_ROWS rows, so what a task holds depends on neither the rows nor the partitions. A
+    run gives one running total per replicate, and no (replicate, row) table exists. Equal scores that lie in several
+    runs are put together at the end. A replicate without one of the classes has null ranking metrics.
     """
     spark = df.sparkSession
     key = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit("boot"), F.col(id_col).cast("string"))), 1, 12), 16, 10).cast("bigint")
     rows = M._scored(df, label, score, "raise").select(F.col(label).cast("long").alias("y"), F.col(score).cast("double").alias("s"), (key % _PRIME).alias("h"))
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    placed = staged(rows.repartitionByRange(ranges, F.desc("s"), F.col("h")).withColumn("pid", F.spark_partition_id()), "bootstrap")
+    cut = staged(rows.repartitionByRange(ranges, F.desc("s"), F.col("h")).withColumn("pid", F.spark_partition_id()), "bootstrap")
+    inside = F.row_number().over(Window.partitionBy("pid").orderBy(F.desc("s"), "h", "y"))  # rows that tie here are equal
+    run = F.floor((inside - 1) / F.lit(RUN_ROWS)).cast("long")
+    placed = staged(cut.withColumn("pid", F.shiftleft(F.col("pid").cast("long"), 32) + run), "bootstrap-runs")
 
     def totals(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = [pd.DataFrame({"pid": pdf["pid"].iloc[0], "b": b, "pos": p[-1], "cnt": c[-1]}) for b, p, c in _replicate_sums(pdf, n_bootstrap)]
         return pd.concat(parts)
 
-    sums = placed.groupBy("pid").applyInPandas(totals, "pid int, b long, pos long, cnt long")
+    sums = placed.groupBy("pid").applyInPandas(totals, "pid long, b long, pos long, cnt long")
     before = Window.partitionBy("b").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy("b")
     zero = F.lit(0).cast("long")
