@@ -65,13 +65,17 @@ def cut_lineage(df):
     return df.checkpoint(eager=True)
 
 
+#: Bytes of a staged table's row groups: a task holds one while it writes and its columns while it reads, so wide texts need small ones.
+ROW_GROUP = 16 << 20
+
+
 def staged(df: DataFrame, name: str, keep_path: bool = False):
     """Write ``df`` to the shared folder and read it back: computed once, safe against lost executors.
 
     With ``keep_path`` the answer is (table, path), for ``remove_staged``.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     return (back, path) if keep_path else back
 
