@@ -104,10 +104,7 @@ def q_train_evaluate(spark, d):
 
     cfg = TrainConfig(
         roles=Roles(target=LABEL, id="event_id", time="ts"),
-        episodes=4,
-        episode_size=64,
         classifier=dict(max_iter=8),
-        reward_classifier=dict(max_iter=5),
     )
     raw = transactions(spark, d)
     out = scratch_path(spark, "run")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rarefold.functions.rng import sql_uniform
+from rarefold.operators import influence as I
 from rarefold.operators import metrics as M
 from rarefold.operators import select as R
 from rarefold.operators import split as S
@@ -14,6 +15,7 @@ from rarefold.operators.synth import marginal_sample, pool_size_frame
 from rarefold.plans.q_oversample import smote_input
 from rarefold.plans.registry import register, rounded
 from rarefold.plans.tables import SQL_SCORED, scored_events
+from rarefold.session import staged
 
 SEED, EPS, SIZE = 42, R.EPISODES_PER_UPDATE, R.EPISODE_SIZE
 
@@ -123,3 +125,24 @@ def q_select_candidates(spark, d):
     feats = ["value", "uid", "c2"]
     rule, _ = R.fit_accept_rule(pool, "event_id", feats, reward_metric(train, val, feats), EPS, SIZE, SEED)
     return rounded(rule.select(pool).select("event_id", "predicted_gain", "keep"))
+
+
+def _influence(spark, d):
+    train, val, pool = selection_inputs(spark, d)
+    feats = ["value", "uid", "c2"]
+    train, val = (staged(t.select(*feats, "y"), "influence") for t in (train, val))
+    return I.fit_influence_rule(train, val, feats, "y"), train, pool
+
+
+@register("influence_candidates")
+def q_influence_candidates(spark, d):
+    """Every candidate of the pool with what it is expected to take off the validation loss."""
+    rule, _, pool = _influence(spark, d)
+    return rule.select(pool).select("event_id", F.round("predicted_gain", 9).alias("predicted_gain"), "keep")
+
+
+@register("influence_optimum", "select unnest(['(intercept)', 'value', 'uid', 'c2']) as feature, true as at_optimum")
+def q_influence_optimum(spark, d):
+    """The training loss has no slope left at the fitted coefficients: counted over the whole training part, apart from the fit."""
+    rule, train, _ = _influence(spark, d)
+    return I.stationarity(rule, train, "y").select("feature", (F.abs("gradient") < 1e-7).alias("at_optimum"))
