@@ -77,6 +77,16 @@ def one_hot(code: Column, k: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: (i == code).cast("float"))
 
 
+def sparse_one_hot(code: Column, k: int) -> Column:
+    """F9 without the zeros: (size, index) of the one entry that is 1, whatever the cardinality."""
+    return F.struct(F.lit(int(k)).alias("size"), code.cast("int").alias("index"))
+
+
+def dense_one_hot(sparse: Column) -> Column:
+    """The FLOAT array that a sparse one-hot value stands for."""
+    return F.transform(F.sequence(F.lit(0), sparse["size"] - 1), lambda i: (i == sparse["index"]).cast("float"))
+
+
 def _kind_table(df: DataFrame, roles: Roles, low: int, high: int):
     """Exact distinct counts where they decide a kind; one approximate pass plus
     one bounded exact pass (``collect_set`` only for columns near a threshold)."""
@@ -331,14 +341,16 @@ class PreparedFeatures:
             *[F.col(f"`{c}`") for c in tgt],
         )
 
-    def transform_for_gan(self, df: DataFrame, passthrough=()) -> DataFrame:
+    def transform_for_gan(self, df: DataFrame, passthrough=(), sparse: bool = False) -> DataFrame:
         """``numeric`` ARRAY<FLOAT> of standardised values (empty if no
-        numeric column) and ``onehot_<c>`` ARRAY<FLOAT> per categorical column."""
+        numeric column) and ``onehot_<c>`` ARRAY<FLOAT> per categorical column,
+        or with ``sparse`` a (size, index) struct: one entry a row, however many categories."""
         enc = self._encode(df)
         keep = [c for c in passthrough if c in df.columns]
         tgt = [self.target] if self.target in df.columns and self.target not in keep else []
         num = F.array(*[((self._num(df, c) - F.lit(float(self.means[c]))) / F.lit(float(self.stds[c]))).cast("float") for c in self.numeric]) if self.numeric else F.array().cast("array<float>")
-        ohs = [one_hot(F.col(f"__code_{c}"), int(self.cardinality[c])).alias(f"onehot_{c}") for c in self.categorical]
+        encode = sparse_one_hot if sparse else one_hot
+        ohs = [encode(F.col(f"__code_{c}"), int(self.cardinality[c])).alias(f"onehot_{c}") for c in self.categorical]
         return enc.select(*[F.col(f"`{c}`") for c in keep], num.alias("numeric"), *ohs, *[F.col(f"`{c}`") for c in tgt])
 
     def decode_codes(self, df: DataFrame, code_cols: dict[str, str]) -> DataFrame:
@@ -357,12 +369,19 @@ class PreparedFeatures:
         return out
 
     def inverse_transform_gan(self, df: DataFrame, passthrough=()) -> DataFrame:
-        """F13 = F5 (z * std + mean) + F10 (arg-max -> category) on GAN-view arrays."""
+        """F13 = F5 (z * std + mean) + F10 (arg-max -> category) on the arrays or the sparse structs of F12."""
+
+        def code(c: str) -> Column:
+            v = F.col(f"onehot_{c}")
+            if isinstance(df.schema[f"onehot_{c}"].dataType, T.StructType):
+                return v["index"]
+            return (F.array_position(v, F.array_max(v)) - 1).cast("int")
+
         keep = [c for c in passthrough if c in df.columns]
         base = df.select(
             *[F.col(f"`{c}`") for c in keep],
             *[(F.col("numeric")[i].cast("double") * F.lit(float(self.stds[c])) + F.lit(float(self.means[c]))).alias(c) for i, c in enumerate(self.numeric)],
-            *[(F.array_position(F.col(f"onehot_{c}"), F.array_max(F.col(f"onehot_{c}"))) - 1).cast("int").alias(f"__code_{c}") for c in self.categorical],
+            *[code(c).alias(f"__code_{c}") for c in self.categorical],
         )
         dec = self.decode_codes(base, {c: f"__code_{c}" for c in self.categorical})
         return dec.select(*[F.col(f"`{c}`") for c in keep], *self.numeric, *self.categorical)

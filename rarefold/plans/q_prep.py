@@ -395,6 +395,34 @@ def q_argmax_decode(spark, d):
     return p.inverse_transform_gan(g, passthrough=["event_id"]).select("event_id", "n_const", "c1", "c2")
 
 
+@register(
+    "sparse_one_hot",
+    f"""with {_SQL_FITTED}, card as (select feature, count(*) as k from dict group by feature),
+cells as (select event_id, 'n_const' as feature, n_const as code from enc union all
+          select event_id, 'c1', c1 from enc union all select event_id, 'c2', c2 from enc)
+select event_id, cells.feature, k::integer as size, code::integer as "index" from cells join card using (feature)""",
+)
+def q_sparse_one_hot(spark, d):
+    p = _fitted_on_train(spark, d)
+    g = p.transform_for_gan(dirty(spark, d), passthrough=["event_id"], sparse=True)
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"onehot_{c}").alias("v")) for c in p.categorical]))
+    return g.select("event_id", cells.alias("cell")).select("event_id", "cell.feature", "cell.v.size", "cell.v.index")
+
+
+@register(
+    "sparse_decode",
+    f"""with {_SQL_FITTED}
+select event_id, dc.value as n_const, d1.value as c1, d2.value as c2 from enc
+  left join dict dc on dc.feature = 'n_const' and dc.code = enc.n_const
+  left join dict d1 on d1.feature = 'c1' and d1.code = enc.c1
+  left join dict d2 on d2.feature = 'c2' and d2.code = enc.c2""",
+)
+def q_sparse_decode(spark, d):
+    p = _fitted_on_train(spark, d)
+    g = p.transform_for_gan(dirty(spark, d), passthrough=["event_id"], sparse=True)
+    return p.inverse_transform_gan(g, passthrough=["event_id"]).select("event_id", "n_const", "c1", "c2")
+
+
 @register(
     "fitted_spec",
     f"""with {_SQL_TRAIN}, {_SQL_DICT}

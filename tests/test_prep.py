@@ -1,7 +1,8 @@
 import pytest
+from pyspark.sql import functions as F
 
 from rarefold.operators import validate as V
-from rarefold.operators.prep import UNKNOWN, Preparer, PreparedFeatures, Roles, infer_kinds
+from rarefold.operators.prep import UNKNOWN, Preparer, PreparedFeatures, Roles, dense_one_hot, infer_kinds
 
 
 def test_kinds_thresholds(spark):
@@ -65,3 +66,25 @@ def test_zero_variance_scales_by_one_and_save_load(spark, tmp_path):
     assert a == b
     inv = q.inverse_transform_gan(q.transform_for_gan(df)).collect()
     assert sorted(r["c"] for r in inv) == sorted(r[2] for r in rows)
+
+
+def test_sparse_one_hot_is_one_entry_a_row(spark):
+    n = 100_000
+    fit = spark.range(n).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("c"), (F.col("id") % 2).cast("int").alias("y"))
+    p = Preparer(Roles(target="y")).fit(fit)
+    assert p.categorical == ["c"]
+    g = p.transform_for_gan(fit, sparse=True)
+    got = g.agg(F.min("onehot_c.size"), F.max("onehot_c.size"), F.count_distinct("onehot_c.index"), F.min("onehot_c.index"), F.max("onehot_c.index")).first()
+    assert got[0] == got[1] == n + 1  # the unknown value is a category too; it sorts before "k..." and takes code 0
+    assert got[2:] == (n, 1, n)
+    back = p.inverse_transform_gan(p.transform_for_gan(fit.withColumn("id", F.col("c")), passthrough=["id"], sparse=True), passthrough=["id"])
+    assert back.where(F.col("id") == F.col("c")).count() == n
+
+
+def test_sparse_one_hot_equals_the_dense_one(spark):
+    df = spark.createDataFrame([("a", 0), ("b", 1), (None, 0), ("c", 1), ("a", 0)], "c string, y int").withColumn("id", F.monotonically_increasing_id())
+    p = Preparer(Roles(target="y", id="id")).fit(df)
+    app = spark.createDataFrame([(1, "a"), (2, "new"), (3, None), (4, "c")], "id long, c string")
+    dense = {r["id"]: r["onehot_c"] for r in p.transform_for_gan(app, passthrough=["id"]).collect()}
+    wide = p.transform_for_gan(app, passthrough=["id"], sparse=True).select("id", dense_one_hot(F.col("onehot_c")).alias("v"))
+    assert {r["id"]: r["v"] for r in wide.collect()} == dense
