@@ -95,14 +95,19 @@ def q_reward_formula(spark, d):
     return q_episode_summary(spark, d).select("episode", "raw_score", "reward")
 
 
-def selection_inputs(spark, d):
-    tx = smote_input(spark, d)
-    lab = S.assign_time_split(tx, "event_id", 0.7, 0.15)
-    train, val, _ = S.split_frames(lab)
+def selection_splits(spark, d):
+    """The training part, validation part, test part and candidates. Each is written once: every reward is a fit that reads them several times."""
+    lab = S.assign_time_split(smote_input(spark, d), "event_id", 0.7, 0.15)
+    train, val, test = S.split_frames(staged(lab, "split"))
     minority = train.where("y = 1")
     n = pool_size_frame(train, "y").first()["pool_size"]
     pool = marginal_sample(minority, "event_id", ["value", "uid"], ["c2"], n, SEED).withColumn("c2", F.col("c2").cast("int")).withColumn("y", F.lit(1))
-    return train, val, pool.withColumnRenamed("synthetic_id", "event_id")
+    return train, val, test, staged(pool.withColumnRenamed("synthetic_id", "event_id"), "pool")
+
+
+def selection_inputs(spark, d):
+    train, val, _, pool = selection_splits(spark, d)
+    return train, val, pool
 
 
 def reward_metric(train, val, features, target="y"):
