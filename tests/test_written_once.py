@@ -36,3 +36,13 @@ def test_training_rows_travel_as_blocks(spark, monkeypatch):
     assert all(n == 6 for name, n in seen if name == "boost-train")  # 2 partitions of 1000 rows, 3 blocks each
     assert all(n == 1 for name, n in seen if name == "boost-val")
     assert len(m.scores) == 3 and m.scores[-1] == 1.0
+
+
+def test_neighbour_blocks_are_not_merged_into_one_task(spark):
+    from rarefold.operators.oversample import knn_within
+
+    points = spark.range(600).select("id", (F.col("id") * 37 % 601).cast("double").alias("a"), (F.col("id") % 3).cast("int").alias("c"))
+    nn = knn_within(points, "id", ["a"], ["c"], k=2, penalty=5.0, block_rows=64)
+    assert nn.count() == 1200
+    steps = nn._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in steps and "SortMergeJoin" in steps
