@@ -3,8 +3,9 @@ import random
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from rarefold.llm.repeats import LongRepeats, anchors, digest, repeated_starts
+from rarefold.llm.repeats import LongRepeats, _indexed, anchors, digest, repeated_starts
 
 from .conftest import prose
 
@@ -87,3 +88,16 @@ def test_kept_text(spark):
     for r in rows.values():
         if r.n_removed == 0 or "\ufffd" not in r.kept_text:
             assert hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256
+
+
+def test_members_of_a_group_are_made_to_meet(spark):
+    """Grouping is a need that adaptive execution keeps; a repartition before mapInArrow goes after a join on the same key."""
+    core = "q" + "xyz" * 150
+    rows = spark.range(0, 40, 1, 8).select(
+        F.expr("cast(cast(id % 20 as string) as binary)").alias("grp"), F.expr("cast(cast(id as string) as binary)").alias("class"), F.lit(0).cast("long").alias("off"), F.lit(1).cast("long").alias("n"),
+        F.lit(0).cast("long").alias("lead"), F.expr("cast(concat(char(97 + id % 26), id % 20, repeat(char(65 + id % 20), 5), '" + core + "') as binary)").alias("seg"),
+    )
+    members = rows.withColumn("home", F.col("class")).withColumn("starts", F.length("seg").cast("long") - 399)
+    out = _indexed(members.join(members.groupBy("grp").count(), "grp"), LongRepeats())
+    assert "FlatMapGroupsInArrow" in out._jdf.queryExecution().executedPlan().toString()
+    assert out.select("class").distinct().count() == 40
