@@ -9,7 +9,7 @@ from rarefold.operators import split as S
 from rarefold.operators.attribution import tree_contributions
 from rarefold.operators.boost import train_main_classifier
 from rarefold.operators.prep import Preparer
-from rarefold.plans.flagship import FLAGSHIP_PARAMS, ROLES, flagship, orders_with_customers
+from rarefold.plans.flagship import ROLES, flagship, orders_with_customers
 from rarefold.plans.q_prep import DIRTY_ROLES, dirty
 from rarefold.plans.registry import register, rounded
 from rarefold.session import scratch_path, staged
@@ -31,7 +31,7 @@ def _fitted(spark, d):
 def q_classifier_scores(spark, d):
     prep, train, val, test = _fitted(spark, d)
     tv, vv = (staged(prep.transform_for_classifier(x), "view") for x in (train, val))
-    clf = train_main_classifier(tv, prep.features, ROLES.target, vv, params=FLAGSHIP_PARAMS, categorical=prep.categorical)
+    clf = train_main_classifier(tv, prep.features, ROLES.target, vv, categorical=prep.categorical)
     sv = prep.transform_for_classifier(test, passthrough=["o_orderkey"])
     return rounded(clf.predict(sv).select("o_orderkey", C.PROBA, C.PRED))
 

@@ -38,3 +38,10 @@ def test_ablation_is_whole(spark, monkeypatch, asked):
     assert q_ablation(spark, SF).count() == 4
     assert asked == [boost.BoostParams()] * 4
     assert episodes == [(n, [(e, n) for e in range(R.EPISODES_PER_UPDATE)]) for n, _ in episodes] and len(episodes) == 1
+
+
+def test_classifier_scores_are_of_the_declared_classifier(spark, asked):
+    from rarefold.plans.q_model import q_classifier_scores
+
+    assert q_classifier_scores(spark, SF).count() > 0
+    assert asked == [boost.BoostParams()]
