@@ -45,3 +45,10 @@ def test_classifier_scores_are_of_the_declared_classifier(spark, asked):
 
     assert q_classifier_scores(spark, SF).count() > 0
     assert asked == [boost.BoostParams()]
+
+
+def test_train_evaluate_is_whole(spark, asked):
+    from rarefold.plans.q_experiment import q_train_evaluate
+
+    assert q_train_evaluate(spark, SF).count() == 4
+    assert asked == [boost.BoostParams()] * 8  # four scenarios, the final model, three scenarios again
