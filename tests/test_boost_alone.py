@@ -19,6 +19,7 @@ def test_one_task_grows_the_trees_of_the_jobs(spark, parts, monkeypatch):
     train, val = parts
     p = boost.BoostParams(max_iter=40, max_depth=3, step_size=0.3, early_stopping_rounds=5, block=3)
     monkeypatch.setattr(boost, "ALONE_FRESH", 4)
+    monkeypatch.setattr(boost, "ROWS", 300)  # four partitions
     fit = lambda: boost.train_boosted(train, ["a", "c", "d"], "y", val, 2.0, p, ["c"])
     alone = fit()
     monkeypatch.setattr(boost, "ALONE_BYTES", 0)
@@ -29,6 +30,17 @@ def test_one_task_grows_the_trees_of_the_jobs(spark, parts, monkeypatch):
     assert len(alone.scores) == alone.best_iteration + 5 < 40  # no tree beyond the stop
 
 
+def test_jobs_merge_partitions_to_the_same_trees(spark, parts, monkeypatch):
+    train, _ = parts
+    p = boost.BoostParams(max_iter=2, max_depth=3, subsample=1.0, early_stopping_rounds=None)
+    want = [t.value for t in boost.train_boosted(train, ["a", "c", "d"], "y", params=p, categorical=["c"]).trees]
+    monkeypatch.setattr(boost, "ALONE_ROWS", 0)
+    for rows, dense in ((300, 1 << 16), (15, 1 << 16), (300, 4)):  # several partitions, more than 64, sparse histograms
+        monkeypatch.setattr(boost, "ROWS", rows)
+        monkeypatch.setattr(boost, "_DENSE", dense)
+        assert [t.value for t in boost.train_boosted(train, ["a", "c", "d"], "y", params=p, categorical=["c"]).trees] == want
+
+
 def test_a_task_ranks_as_the_metrics_do(spark):
     cases = [[(1, 0.5), (0, 0.5), (1, 0.9), (0, 0.1), (0, 0.9), (1, -2.0)], [(1, 0.3)] * 5, [(0, 0.3), (0, 0.2)], [(0, 1.0), (1, 0.0)]]
     for rows in cases:
